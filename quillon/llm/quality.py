@@ -22,7 +22,8 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 BITS = 15
 SIZE = 1 << BITS
-ORDERS = (2, 3, 4)
+ORDERS = (3, 4)
+MIX = np.array([0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x27D4EB2F165667C5, 0x369DEA0F31A53F85, 0x5851F42D4C957F2D], np.int64)  # odd numbers
 MIN_QUALITY = 0.25  # fixed threshold on the calibrated probability that a row is good
 SAMPLE_PER_CLASS = 1500  # bound of the training sample, rows of each label
 SAMPLE_CHARS = 50_000  # labelled rows longer than this are not used for training
@@ -34,6 +35,10 @@ def repeat_words(ids: np.ndarray) -> int:
     n = len(ids) - WINDOW + 1
     if n < 2:
         return 0
+    mixed = sum(ids[k : k + n] * odd for k, odd in enumerate(MIX))
+    mixed.sort()
+    if (mixed[1:] != mixed[:-1]).all():  # equal windows have equal sums, so none is found twice
+        return 0
     two = np.unique(ids[:-1] * (int(ids.max()) + 1) + ids[1:], return_inverse=True)[1]
     four = np.unique(two[:-2] * (int(two.max()) + 1) + two[2:], return_inverse=True)[1]
     five, count = np.unique(four[:n] * (int(ids.max()) + 1) + ids[4:], return_inverse=True, return_counts=True)[1:]
@@ -50,8 +55,8 @@ def repeat_words(ids: np.ndarray) -> int:
 def base_counts(text: bytes) -> tuple[int, int, int, int, int, np.ndarray, dict]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, word numbers, words by number)."""
     words = text.split()
-    index: dict[bytes, int] = {}
-    ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+    index = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
     blank = sum(text.count(c) for c in (PLAIN_SPACE[i : i + 1] for i in range(len(PLAIN_SPACE))))
     chars = len(text) - blank - (len(text) - len(text.translate(None, CONTINUED)))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
