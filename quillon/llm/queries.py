@@ -4,18 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import licenses, quality
+from quillon.llm import langid, licenses, quality, token_files, toxicity, warc
 from quillon.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit_languages(langid.learnable(docs)))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, toxicity.learnable(table(spark, sf_dir, "labels"))))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality_rules(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_tokens(token_files.write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules, op9_license_scan)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op6_quality_rules, op8_token_files, op9_license_scan, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
