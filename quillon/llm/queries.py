@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import langid, licenses, quality, token_files, toxicity, warc
+from quillon.llm import chat, decontaminate, langid, licenses, quality, simhash, token_files, toxicity, warc
 from quillon.llm.common import table
 
 
@@ -25,11 +25,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, toxicity.learnable(table(spark, sf_dir, "labels"))))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1 whose texts are control strings."""
+    text = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat.chat_digest(table(spark, sf_dir, "conversations").select(*own.columns).unionByName(own))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality_rules(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(token_files.write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
@@ -42,5 +57,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op6_quality_rules, op8_token_files, op9_license_scan, op10_warc)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_toxicity, op3_chat_format, op5_simhash, op6_quality_rules, op7_decontaminate, op8_token_files, op9_license_scan, op10_warc,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
