@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import chat, decontaminate, langid, licenses, quality, simhash, token_files, toxicity, warc
+from quillon.llm import chat, decontaminate, langid, licenses, quality, sentencepiece_lattice, simhash, token_files, toxicity, warc
 from quillon.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(table(spark, sf_dir, "conversations").select(*own.columns).unionByName(own))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.sentencepiece_digest(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_language_id, op2_toxicity, op3_chat_format, op5_simhash, op6_quality_rules, op7_decontaminate, op8_token_files, op9_license_scan, op10_warc,
+        op1_language_id, op2_toxicity, op3_chat_format, op4_sentencepiece, op5_simhash, op6_quality_rules, op7_decontaminate, op8_token_files, op9_license_scan, op10_warc,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
