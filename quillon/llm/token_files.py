@@ -13,6 +13,7 @@ byte up in a table of byte masks. A null or empty text is the end id alone; a ta
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -27,7 +28,7 @@ from quillon.llm.common import as_batch, pieces, written
 
 MAGIC, HEAD = b"QVB1", struct.Struct("<4sIIQ")
 SHARD_IDS = 2 << 20  # a shard is closed at so many ids
-CACHE_WORDS = 400_000  # words whose ids a worker remembers
+CACHE_WORDS = 600_000  # words whose ids a worker remembers
 END_ID = 2
 # MASKS[c]: which of the 4 x 4 bytes of four little-endian numbers are stored under control byte c.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -124,12 +125,18 @@ class Encoder:
         return [f + b"".join(map(get, c[1:])) for f, c in zip(first, cut, strict=True)]
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, which keeps its words from task to task."""
+    return Encoder(path)
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """Shards of docs (doc_id, text) as a written table (part, seq, before: ids of the part before the shard, n_ids, image)."""
 
     def run(batches):
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("image", pa.binary())])
-        encode, part = Encoder(tokenizer_path), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         doc_ids: list = []
         held: list[bytes] = []
