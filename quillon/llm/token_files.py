@@ -38,11 +38,12 @@ SHARDS = "part int, seq int, before long, n_ids long, image binary"
 
 def pack(doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:
     """The shard of these documents."""
-    found, inverse, freq = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((found, -freq))
-    rank = np.empty(len(found), "<u4")
-    rank[order] = np.arange(len(found), dtype="<u4")
-    ranks = rank[inverse.ravel()]
+    freq = np.bincount(ids)  # as long as the vocabulary
+    found = np.flatnonzero(freq)
+    order = np.lexsort((found, -freq[found]))
+    rank = np.zeros(len(freq), "<u4")
+    rank[found[order]] = np.arange(len(found), dtype="<u4")
+    ranks = rank[ids]
     size = (1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
     data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4)[None, :] < size[:, None]]
     codes = np.zeros(-len(size) % 4 + len(size), np.uint8)
