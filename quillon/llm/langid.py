@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import as_batch, class_sample, fold, pieces
+from quillon.llm.common import as_batch, class_sample, fold, pieces, unused
 
 UND = "und"
 BITS = 14
@@ -24,6 +24,7 @@ SIZE = 1 << BITS
 ORDERS = (1, 2, 3)
 SAMPLE_PER_CLASS = 500  # bound of the training sample, documents of each language
 SAMPLE_CHARS = 50_000  # longer documents are not used for training
+MIN_SCORE = 0.5  # below it keep_identified rejects a text
 PART = 1 << 20  # code points hashed at a time
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -130,31 +131,52 @@ def fit_languages(docs: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict |
     return train([(t, lang) for _, t, lang in rows], np.log((1 + n) / (1 + df)) + 1)
 
 
+def predict(m: dict | None, texts: list, letters: list) -> tuple[list[str], list[float]]:
+    """Language and probability of each text."""
+    names, scores = [], []
+    for text, has_letter in zip(texts, letters, strict=True):
+        if m is None or not has_letter:
+            names.append(UND)
+            scores.append(0.0)
+            continue
+        col, val = tf_idf(buckets(text), m["idf"])
+        p = softmax(val @ m["weights"][col] / m["temperature"])
+        best = int(p.argmax())
+        names.append(m["classes"][best])
+        scores.append(float(p[best]))
+    return names, scores
+
+
+def has_letters(text: Column) -> Column:
+    return F.coalesce(text.cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     """Predictions for every row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-        m = shared.value
         for batch in pieces(batches, "text"):
-            names, scores = [], []
-            for text, letters in zip(batch.column("text").to_pylist(), batch.column("letters").to_pylist(), strict=True):
-                if m is None or not letters:
-                    names.append(UND)
-                    scores.append(0.0)
-                    continue
-                col, val = tf_idf(buckets(text), m["idf"])
-                p = softmax(val @ m["weights"][col] / m["temperature"])
-                best = int(p.argmax())
-                names.append(m["classes"][best])
-                scores.append(float(p[best]))
-            yield as_batch(schema, batch.column("doc_id"), batch.column("held_out"), names, scores)
+            found = predict(shared.value, batch.column("text").to_pylist(), batch.column("letters").to_pylist())
+            yield as_batch(schema, batch.column("doc_id"), batch.column("held_out"), *found)
 
     held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.select("doc_id", "text", held, letters).mapInArrow(run, SCHEMA)
+    return rows.select("doc_id", "text", held, has_letters(F.col("text")).alias("letters")).mapInArrow(run, SCHEMA)
+
+
+def keep_identified(docs: DataFrame, model: dict | None, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs whose language the model tells with min_score or more, all columns as they are."""
+    shared, names, letters = docs.sparkSession.sparkContext.broadcast(model), docs.columns, unused("letters", docs)
+
+    def run(batches):
+        for batch in pieces(batches, "text"):
+            lang, score = predict(shared.value, batch.column("text").to_pylist(), batch.column(letters).to_pylist())
+            keep = [name != UND and s >= min_score for name, s in zip(lang, score, strict=True)]
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.withColumn(letters, has_letters(F.col("text"))).mapInArrow(run, docs.schema)
 
 
 def learnable(docs: DataFrame) -> DataFrame:

@@ -144,33 +144,46 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_
     return train([(t.encode(), int(q > 0)) for _, t, q in rows])
 
 
+def judge(m: dict | None, text: bytes | None, threshold: float) -> tuple:
+    """Counts, base_failed, kept and probability of a text."""
+    text = text or b""
+    *counts, ids, index = base_counts(text)
+    failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]
+    p = 1.0
+    if m is not None:
+        z = m["bias"]
+        if len(ids):
+            z += float(m["words"][word_buckets(index)][ids].mean(dtype=np.float64))
+        if text:
+            z += mean_weight(m["chars"], text)
+        p = float(sigmoid(m["a"] * z + m["b"]))
+    return *counts, failed, not failed and p >= threshold, p
+
+
 def quality_rules(docs: DataFrame, model: dict | None, threshold: float = MIN_QUALITY) -> DataFrame:
     """Base counts, calibrated probability and verdict for every row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("quality", pa.float64())])
-        m = shared.value
         for batch in pieces(batches, "text"):
-            rows = []
-            for text in raw(batch, "text"):
-                text = text or b""
-                *counts, ids, index = base_counts(text)
-                failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]
-                p = 1.0
-                if m is not None:
-                    z = m["bias"]
-                    if len(ids):
-                        z += float(m["words"][word_buckets(index)][ids].mean(dtype=np.float64))
-                    if text:
-                        z += mean_weight(m["chars"], text)
-                    p = float(sigmoid(m["a"] * z + m["b"]))
-                rows.append((*counts, failed, not failed and p >= threshold, p))
+            rows = [judge(shared.value, text, threshold) for text in raw(batch, "text")]
             yield as_batch(schema, batch.column("doc_id"), *map(list, zip(*rows, strict=True)))
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
 
 
+def keep_good(docs: DataFrame, model: dict | None, threshold: float = MIN_QUALITY) -> DataFrame:
+    """The rows of docs that the rules keep, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in pieces(batches, "text"):
+            yield batch.filter(pa.array([judge(shared.value, text, threshold)[6] for text in raw(batch, "text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def mean_weight(weights: np.ndarray, text: bytes, step: int = 1 << 20) -> float:
     """Mean weight of all byte n-grams, gathered a part of a long text at a time."""
     total = count = 0.0

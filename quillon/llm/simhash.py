@@ -19,10 +19,11 @@ import string
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillon.llm.common import as_batch, pieces, raw, written
+from quillon.llm.common import as_batch, pieces, raw, unused, written
 from quillon.llm.graph import connected
 
 SHINGLE, SEED, RADIUS, SEGMENTS = 3, 42, 3, 4
@@ -97,17 +98,45 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     return near.union(met)
 
 
-def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, fp and component_id for every row of docs."""
-    prints = written(fingerprints(docs), "fingerprints")
+def components(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """fp, root (the component's smallest fingerprint) and component_id for each fingerprint of the written table prints."""
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = connected(links(nodes.select("fp"), hot))
     placed = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "placed")
     ids = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
-    named = written(placed.join(ids, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return written(placed.join(ids, "root").select("fp", "root", "component_id"), "components")
+
+
+def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, fp and component_id for every row of docs."""
+    prints = written(fingerprints(docs), "fingerprints")
+    return prints.join(components(prints, hot), "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint as 16 hex digits, component_id."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component, that of its component_id, all columns as they are. Of rows that share that
+    id, the one whose fingerprint is smallest stays; of rows with the same id and text any one."""
+    prints = written(fingerprints(docs), "fingerprints")
+    own = prints.join(components(prints), "fp").where("doc_id <=> component_id")
+    kept = own.groupBy("root").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("keep_id")).select(F.col("fp").alias("keep_fp"), "keep_id")
+    kept = written(kept, "kept")
+    fp, copy = unused("fp", docs), unused("copy", docs)
+    marked = with_fingerprint(docs, fp).join(kept, F.expr(f"keep_id <=> cast(doc_id as long) and keep_fp = {fp}"), "left_semi")
+    first = Window.partitionBy("doc_id", fp).orderBy("text")
+    return marked.withColumn(copy, F.row_number().over(first)).where(f"{copy} = 1").select(*docs.columns)
+
+
+def with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    """docs with its fingerprints as a column of that name."""
+
+    def run(batches):
+        for batch in pieces(batches, "text"):
+            fp = np.array([fingerprint(t) for t in raw(batch, "text")], np.uint64).view(np.int64)
+            yield batch.append_column(name, pa.array(fp))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
