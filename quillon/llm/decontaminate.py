@@ -34,9 +34,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), WORD_BREAK), "")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def key_columns() -> list[Column]:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.length(text), F.lit(-1)).alias("text_size"), words_of(text).alias("words"))
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.length(text), F.lit(-1)).alias("text_size")]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*key_columns(), words_of(F.col("text")).alias("words"))
 
 
 def lead_hash(words: Column, at: Column, lead: int) -> Column:
@@ -79,8 +83,10 @@ def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
         spot = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size")))
         return base.where("false").select(*KEY, spot.alias("spans"), F.array(F.lit(0).cast(items.schema["item_id"].dataType)).alias("items"))
     places = written(reduce(DataFrame.union, found).groupBy(*KEY).agg(F.collect_set("at").alias("places")), "places")
-    near = base.alias("d").join(places.alias("p"), same_text("d", "p")).select(*[F.col(f"d.{k}") for k in KEY], "words", "places").distinct()
-    near = near.withColumn("at", F.explode("places"))
+    # the texts themselves are shuffled, never the longer word arrays, and cut again after the join
+    texts = docs.select(*key_columns(), F.col("text").cast("string").alias("text"))
+    near = texts.alias("d").join(places.hint("shuffle_hash").alias("p"), same_text("d", "p"))
+    near = near.select(*[F.col(f"d.{k}") for k in KEY], words_of(F.col("text")).alias("words"), F.explode("places").alias("at"))
     spans = F.filter(
         F.array(*[F.when(F.col("at") + s <= F.size("words"), F.struct(F.lit(s).alias("size"), F.array_join(F.slice("words", F.col("at") + 1, s), " ").alias("window"))) for s in sorted({s for s, *_ in sizes})]),
         lambda x: x.isNotNull(),
@@ -96,7 +102,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1)))))
     brief = hits.select(*KEY, covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",").alias("ids"))
     all_docs = keyed(docs).select(*KEY, F.size("words").cast("long").alias("n_words"))
-    joined = all_docs.alias("d").join(brief.alias("h"), same_text("d", "h"), "left")
+    joined = all_docs.alias("d").join(brief.hint("merge").alias("h"), same_text("d", "h"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
         F.col("d.doc_id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),

@@ -72,8 +72,19 @@ def lattice(units: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     return edges.groupBy("unit").agg(F.max("n").alias("n"), F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
 
 
+def by_span(name: str) -> Column:
+    """A map from the span of each edge to its field of that name."""
+    return F.map_from_entries(F.transform("edges", lambda e: F.struct(span_key(e["begin"], e["stop"]), e[name])))
+
+
+def once(name: str, value: Column) -> Column:
+    """value, which reads the column inside a lambda. A second reading keeps the optimizer from moving the column's own
+    expression into the lambda, where it would be evaluated at every step."""
+    return F.when(F.size(name) >= 0, value)
+
+
 def span_key(begin, stop):
-    return begin * 4096 + stop
+    return begin.cast("long") * (1 << 31) + stop
 
 
 def fold_bpe(n: Column, scores: Column) -> Column:
@@ -144,20 +155,15 @@ def encode_units(units: DataFrame, table_rows: list, unigram: bool = False) -> D
     base, unknown = bytes_at[0] if bytes_at else None, next((i for i, *_, kind in table_rows if kind == "unknown"), 0)
     table = units.sparkSession.createDataFrame(normal, "id int, piece string, score double")
     found = lattice(units, table, max((len(p) for _, p, _ in normal), default=1))
-    found = found.withColumn("score_of", F.map_from_entries(F.transform("edges", lambda e: F.struct(span_key(e["begin"], e["stop"]), e["score"]))))
-    short = found.where(F.col("n") <= FOLD_CHARS)
     floor = min((s for *_, s in normal), default=0.0) - 10
-    cuts = fold_viterbi(F.col("n"), F.col("edges"), floor) if unigram else fold_bpe(F.col("n"), F.col("score_of"))
+    short = found.where(F.col("n") <= FOLD_CHARS).select("unit", "n", "edges", by_span("score").alias("score_of"))
+    cuts = once("edges", fold_viterbi(F.col("n"), F.col("edges"), floor)) if unigram else once("score_of", fold_bpe(F.col("n"), F.col("score_of")))
     short = short.select("unit", "edges", cuts.alias("cuts"))
     long = found.where(F.col("n") > FOLD_CHARS).select("unit", "n", "edges").mapInArrow(long_cuts(unigram, floor), "unit string, edges array<struct<begin int, stop int, id int, score double>>, cuts array<int>")
-    both = short.unionByName(long).select(
-        "unit", "cuts", F.split("unit", "").alias("chars"), F.map_from_entries(F.transform("edges", lambda e: F.struct(span_key(e["begin"].cast("long"), e["stop"]), e["id"]))).alias("id_of")
-    )
-    both = both.select("unit", "cuts", F.array_remove("chars", "").alias("chars"), "id_of")
-    one = lambda begin, i: F.when(
-        F.try_element_at("id_of", span_key(begin.cast("long"), F.get("cuts", i + 1))).isNotNull(), F.array(F.try_element_at("id_of", span_key(begin.cast("long"), F.get("cuts", i + 1))))
-    ).otherwise(char_ids(F.get("chars", begin), base, unknown))
-    return both.select("unit", F.flatten(F.transform(F.slice("cuts", 1, F.size("cuts") - 1), one)).alias("ids"))
+    both = short.unionByName(long).select("unit", "cuts", F.array_remove(F.split("unit", ""), "").alias("chars"), by_span("id").alias("id_of"))
+    found_id = lambda begin, i: F.try_element_at("id_of", span_key(begin, F.get("cuts", i + 1)))
+    one = lambda begin, i: F.when(found_id(begin, i).isNotNull(), F.array(found_id(begin, i))).otherwise(char_ids(F.get("chars", begin), base, unknown))
+    return both.select("unit", once("id_of", F.flatten(F.transform(F.slice("cuts", 1, F.size("cuts") - 1), one))).alias("ids"))
 
 
 def long_cuts(unigram: bool, floor: float):
