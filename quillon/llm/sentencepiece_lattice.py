@@ -54,15 +54,17 @@ def units_of(text: Column) -> Column:
     return F.regexp_extract_all(normalised(text), F.lit(UNIT.pattern), 0)
 
 
-def lattice(units: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """unit, n (characters) and edges (array of begin, stop, id, score) of the distinct units (unit)."""
+def lattice(units: DataFrame, table: DataFrame, longest: int, brief: bool) -> DataFrame:
+    """unit, n (characters) and edges (array of begin, stop, id, score) of the distinct units (unit). Substrings of brief
+    units are cut from the text itself, of others from their characters, which takes no longer at the end of a long one."""
+    cut_out = (lambda at, size: F.substring("unit", at + 1, size)) if brief else (lambda at, size: F.array_join(F.slice("chars", at + 1, size), ""))
     chars = units.select("unit", F.split("unit", "").alias("chars")).select("unit", F.array_remove("chars", "").alias("chars"))
     spans = F.flatten(
         F.transform(
             F.sequence(F.lit(0), F.size("chars") - 1),
             lambda at: F.transform(
                 F.sequence(F.lit(1), F.least(F.lit(longest), F.size("chars") - at)),
-                lambda size: F.struct(at.alias("begin"), (at + size).alias("stop"), F.array_join(F.slice("chars", at + 1, size), "").alias("piece")),
+                lambda size: F.struct(at.alias("begin"), (at + size).alias("stop"), cut_out(at, size).alias("piece")),
             ),
         )
     )
@@ -154,12 +156,13 @@ def encode_units(units: DataFrame, table_rows: list, unigram: bool = False) -> D
         raise ValueError("byte pieces must have 256 consecutive ids")
     base, unknown = bytes_at[0] if bytes_at else None, next((i for i, *_, kind in table_rows if kind == "unknown"), 0)
     table = units.sparkSession.createDataFrame(normal, "id int, piece string, score double")
-    found = lattice(units, table, max((len(p) for _, p, _ in normal), default=1))
+    longest = max((len(p) for _, p, _ in normal), default=1)
     floor = min((s for *_, s in normal), default=0.0) - 10
-    short = found.where(F.col("n") <= FOLD_CHARS).select("unit", "n", "edges", by_span("score").alias("score_of"))
+    units = written(units, "distinct-units")
+    short = lattice(units.where(F.length("unit") <= FOLD_CHARS), table, longest, True).select("unit", "n", "edges", by_span("score").alias("score_of"))
     cuts = once("edges", fold_viterbi(F.col("n"), F.col("edges"), floor)) if unigram else once("score_of", fold_bpe(F.col("n"), F.col("score_of")))
     short = short.select("unit", "edges", cuts.alias("cuts"))
-    long = found.where(F.col("n") > FOLD_CHARS).select("unit", "n", "edges").mapInArrow(long_cuts(unigram, floor), "unit string, edges array<struct<begin int, stop int, id int, score double>>, cuts array<int>")
+    long = lattice(units.where(F.length("unit") > FOLD_CHARS), table, longest, False).select("unit", "n", "edges").mapInArrow(long_cuts(unigram, floor), "unit string, edges array<struct<begin int, stop int, id int, score double>>, cuts array<int>")
     both = short.unionByName(long).select("unit", "cuts", F.array_remove(F.split("unit", ""), "").alias("chars"), by_span("id").alias("id_of"))
     found_id = lambda begin, i: F.try_element_at("id_of", span_key(begin, F.get("cuts", i + 1)))
     one = lambda begin, i: F.when(found_id(begin, i).isNotNull(), F.array(found_id(begin, i))).otherwise(char_ids(F.get("chars", begin), base, unknown))
