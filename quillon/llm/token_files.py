@@ -16,7 +16,9 @@ from __future__ import annotations
 import functools
 import re
 import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ MAGIC, HEAD = b"QVB1", struct.Struct("<4sIIQ")
 SHARD_IDS = 2 << 20  # a shard is closed at so many ids
 CACHE_WORDS = 600_000  # words whose ids a worker remembers
 END_ID = 2
+U32 = "I"  # four bytes here; tokens are written in the byte order of the machine, which must be little-endian
+assert array(U32).itemsize == 4 and sys.byteorder == "little"
 # MASKS[c]: which of the 4 x 4 bytes of four little-endian numbers are stored under control byte c.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 MASKS = np.arange(4)[None, None, :] < LENGTHS[:, :, None]
@@ -113,7 +117,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(U32, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [parts(t) for t in texts]
