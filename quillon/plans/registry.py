@@ -1,4 +1,377 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the engine's own operators and the SQL each is compared with."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.functions import constants as C
+from quillon.functions import markdown as M
+from quillon.functions import text as X
+from quillon.operators import fetch, index, resolve, search, sections, status
+from quillon.plans import corpus as P
+from quillon.sources import links, openapi, publish
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+BASE = f"WITH {P.DOCS}, {P.TOKENIZED}"
+SITE = links.Site("www.example.com", "/p/")
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def one(spark: SparkSession, *texts: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+
+
+def asked_sql(*texts: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts)) + ") v(query_id, query)"
+
+
+def top(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "place", "id", "kind", F.round("score", 6).alias("score"))
+
+
+# --- tokens and index ---
+
+
+@query(f"{BASE} SELECT doc_pos, CAST(len(body) AS BIGINT) AS n_tokens, CAST(len(list_distinct(body)) AS BIGINT) AS n_distinct, md5(array_to_string(body, ' ')) AS digest FROM tok")
+def token_counts(spark, d):
+    return index.tokenized(P.documents(spark, d)).select(
+        "doc_pos", F.size("body").cast("long").alias("n_tokens"), F.size(F.array_distinct("body")).cast("long").alias("n_distinct"), F.md5(F.array_join("body", " ").cast("binary")).alias("digest")
+    )
+
+
+@query(f"{BASE}, {P.POSTED} SELECT doc_pos, term, weight FROM post")
+def term_postings(spark, d):
+    return index.postings(P.documents(spark, d))
+
+
+@query(f"{BASE}, {P.POSTED} SELECT term, df FROM terms")
+def document_frequency(spark, d):
+    return index.term_stats(index.postings(P.documents(spark, d)))
+
+
+@query(f"{BASE}, {P.MEASURED} SELECT doc_pos, length, round(ratio, 9) AS ratio FROM meas")
+def doc_lengths(spark, d):
+    return index.measured(P.documents(spark, d)).select("doc_pos", "length", F.round("ratio", 9).alias("ratio"))
+
+
+@query(f"{BASE}, {P.MEASURED} SELECT kind, round(median, 9) AS median FROM med")
+def kind_upper_median(spark, d):
+    found = index.upper_median(index.measured(P.documents(spark, d)), "kind", "ratio")
+    return found.select("kind", F.round("median", 9).alias("median"))
+
+
+@query(f"{BASE}, {P.MEASURED} SELECT doc_pos, length, round(norm_length, 5) AS norm_length FROM stats")
+def norm_length(spark, d):
+    return index.doc_stats(P.documents(spark, d)).select("doc_pos", "length", F.round("norm_length", 5).alias("norm_length"))
+
+
+@query(f"{BASE}, {P.MEASURED} SELECT n, round(avg_length, 6) AS avg_length FROM corpus")
+def corpus_stats(spark, d):
+    return index.corpus_stats(index.doc_stats(P.documents(spark, d))).select("n", F.round("avg_length", 6).alias("avg_length"))
+
+
+@query("SELECT * FROM (VALUES ('duplicate_posting', 0), ('empty_term', 0), ('weight_below_one', 0), ('orphan_posting', 0), ('duplicate_document', 0), ('length_differs', 0), ('bad_norm', 0)) v(\"check\", violations)")
+def index_integrity(spark, d):
+    return index.index_problems(index.build_index(P.documents(spark, d)))
+
+
+@query(f"SELECT item_id, array_to_string({X.sql_query_tokens('text')}, ' ') AS terms FROM benchmark")
+def query_tokens(spark, d):
+    return P.table(spark, d, "benchmark").select("item_id", F.array_join(X.query_tokens(F.col("text")), " ").alias("terms"))
+
+
+# --- search ---
+
+
+def run_search(*texts: str, k: int = C.DEFAULT_K, kind: str = ""):
+    def run(spark, d):
+        return top(search.search_many(index.build_index(P.documents(spark, d)), one(spark, *texts), k, kind))
+
+    return run
+
+
+SEARCHES = {
+    "bm25_search": (("tion stable",), {"k": 20}),
+    "bm25_kind_filter": (("tion stable und",), {"k": 10, "kind": "de"}),
+    "bm25_id_query": (("doc-7",), {"k": 20}),
+    "bm25_prefix": (("dieer unden chtig",), {"k": 20}),
+    "bm25_stopwords_only": (("there where",), {"k": 10}),
+    "bm25_no_match": (("qqqqq zzzzz",), {"k": 5}),
+}
+for name, (texts, more) in SEARCHES.items():
+    QUERIES[name] = run_search(*texts, **more)
+    ORACLE_SQL[name] = P.search_sql(asked_sql(*texts), **more)
+
+TITLES = "SELECT item_id AS query_id, split_part(text, '.', 1) AS query FROM benchmark"
+
+
+@query(P.search_sql(TITLES, 5))
+def bm25_title_boost(spark, d):
+    asked = P.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("query"))
+    return top(search.search_many(index.build_index(P.documents(spark, d)), asked, 5))
+
+
+@query(P.search_sql("SELECT item_id AS query_id, text AS query FROM benchmark", 5))
+def search_many(spark, d):
+    asked = P.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return top(search.search_many(index.build_index(P.documents(spark, d)), asked, 5))
+
+
+@query(P.search_sql(asked_sql("tion stable und", "dieer"), 20, columns="query_id, id, matched, lookups"))
+def query_coverage(spark, d):
+    found = search.search_many(index.build_index(P.documents(spark, d)), one(spark, "tion stable und", "dieer"), 20)
+    return found.select("query_id", "id", "matched", F.array_join("lookups", " ").alias("lookups"))
+
+
+@query(f"{BASE}, {P.POSTED}, asked AS (SELECT unnest(['dieer', 'unden', 'chtig', 'thera']) AS term), {P.PREFIX_SQL} SELECT term, lookup, lookup_df, place FROM expanded")
+def prefix_expansion(spark, d):
+    terms = index.term_stats(index.postings(P.documents(spark, d)))
+    return search.expand_prefix(spark.createDataFrame([(t,) for t in ("dieer", "unden", "chtig", "thera")], "term string"), terms)
+
+
+@query()
+def search_with_snippets(spark, d):
+    return search.search(spark, index.build_index(P.documents(spark, d)), "tion stable", 10)
+
+
+@query()
+def search_docs(spark, d):
+    return search.search_docs(spark, index.build_index(P.documents(spark, d)), "tion stable", "garbage")
+
+
+# --- text ---
+
+
+SQUEEZED = "trim(regexp_replace(text, '[ \t\n]+', ' ', 'g'))"
+
+
+def snippet_sql(t: str, terms: list[str], limit: int) -> str:
+    lead = f"(pos - {limit // 3})"
+    return f"""WITH s AS (SELECT doc_id, {t} AS t FROM documents), a AS (SELECT doc_id, t, coalesce(least({', '.join(f"nullif(instr(lower(t), '{x}'), 0)" for x in terms)}), 0) - 1 AS pos FROM s),
+    b AS (SELECT doc_id, t, pos, length(regexp_extract(left(t, greatest({lead}, 0)), '(?s)^(.* )', 1)) AS back FROM a),
+    c AS (SELECT doc_id, t, pos, CASE WHEN back > 0 THEN back ELSE {lead} END AS start FROM b)
+    SELECT doc_id, CASE WHEN pos <= {limit // 3} THEN {X.sql_truncate('t', limit)} ELSE '...' || CASE WHEN length(t) > start + {limit} THEN regexp_replace(substr(t, start + 1, {limit}), '(?s) [^ ]*$', '') || '...' ELSE substr(t, start + 1, {limit}) END END AS snippet FROM c"""
+
+
+@query(snippet_sql(SQUEEZED, ["stable", "erheit"], C.SNIPPET_CHARS))
+def plain_snippet(spark, d):
+    text = F.trim(F.regexp_replace("text", "[ \t\n]+", " "))
+    return P.table(spark, d, "documents").select("doc_id", text.alias("t")).select("doc_id", X.plain_snippet(F.col("t"), ["stable", "erheit"], C.SNIPPET_CHARS).alias("snippet"))
+
+
+@query(f"SELECT doc_id, {X.sql_truncate('text', C.SUMMARY_CHARS)} AS short FROM documents")
+def truncate_text(spark, d):
+    return P.table(spark, d, "documents").select("doc_id", X.truncate(F.col("text"), C.SUMMARY_CHARS).alias("short"))
+
+
+@query("SELECT page_id, md5(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) AS digest, CAST(length(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) AS BIGINT) AS n FROM pages")
+def strip_comments(spark, d):
+    out = X.strip_closed_comments(F.col("html"))
+    return P.table(spark, d, "pages").select("page_id", F.md5(out.cast("binary")).alias("digest"), F.length(out).cast("long").alias("n"))
+
+
+@query()
+def summaries(spark, d):
+    return P.table(spark, d, "documents").select("doc_id", M.summary(F.col("text")).alias("summary"))
+
+
+@query()
+def flattened(spark, d):
+    return P.table(spark, d, "documents").select("doc_id", M.flat(F.col("text")).alias("plain"))
+
+
+@query()
+def cleaned_pages(spark, d):
+    return P.table(spark, d, "documents").withColumn("page", M.cleaned(F.concat(F.lit("---\nupdatedAt: 2024-01-01\n---\n"), "text"))).select("doc_id", "page.body", "page.updated_at")
+
+
+# --- addresses and links ---
+
+OK_URL = r"regexp_full_match(url, 'https://www\.example\.com/p/[^/?#%\s]+') AND NOT contains(substr(url, 27), '..') AND length(url) <= 1024"
+SLUG = "regexp_replace(substr(url, 27), '\\.md$', '')"
+OK_SLUG = "regexp_full_match({0}, '[A-Za-z0-9][A-Za-z0-9._-]*') AND NOT contains({0}, '..') AND length({0}) <= 256"
+
+
+def urls(spark, d):
+    """The pages' addresses, each also below the site of these queries."""
+    host = F.regexp_replace("url", r"\Ahttps?://[^/]+/", SITE.base)
+    pages = P.table(spark, d, "pages")
+    return pages.select("page_id", "url").union(pages.select((F.col("page_id") + 1_000_000_000), host)).union(pages.select((F.col("page_id") + 2_000_000_000), F.concat(F.lit(SITE.base + "page-"), "page_id", F.lit(".md"))))
+
+
+URLS = r"u AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000000, regexp_replace(url, '^https?://[^/]+/', 'https://www.example.com/p/') FROM pages UNION ALL SELECT page_id + 2000000000, 'https://www.example.com/p/page-' || page_id || '.md' FROM pages)"
+
+
+@query(f"WITH {URLS} SELECT page_id, {OK_URL} AS ok FROM u")
+def url_predicates(spark, d):
+    return urls(spark, d).select("page_id", links.is_page_url(F.col("url"), SITE).alias("ok"))
+
+
+@query(f"WITH {URLS} SELECT page_id, CASE WHEN ({OK_URL}) AND {OK_SLUG.format(SLUG)} THEN {SLUG} END AS slug FROM u")
+def url_slug(spark, d):
+    return urls(spark, d).select("page_id", links.slug_of(F.col("url"), SITE).alias("slug"))
+
+
+@query(f"WITH {URLS}, l AS (SELECT page_id AS pos, {SLUG} AS slug, url FROM u WHERE ({OK_URL}) AND {OK_SLUG.format(SLUG)}), f AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY pos) AS rn FROM l) SELECT slug, 'Page ' || pos AS title, 'https://www.example.com/p/' || slug || '.md' AS url, 'from ' || pos AS description FROM f WHERE rn = 1")
+def link_list(spark, d):
+    line = F.concat(F.lit("- [Page "), "page_id", F.lit("]("), "url", F.lit("): from "), "page_id")
+    return links.parse_links(urls(spark, d).select(F.col("page_id").alias("pos"), line.alias("value")), SITE)
+
+
+@query("SELECT host, page_id, url FROM (SELECT regexp_extract(url, '://([^/]+)', 1) AS host, page_id, url, row_number() OVER (PARTITION BY regexp_extract(url, '://([^/]+)', 1) ORDER BY page_id) AS rn FROM pages) WHERE rn = 1")
+def first_occurrence(spark, d):
+    pages = P.table(spark, d, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("host"), "page_id", "url")
+    return pages.groupBy("host").agg(F.min("page_id").alias("page_id"), F.min_by("url", "page_id").alias("url"))
+
+
+# --- sections ---
+
+FOLDED = "f AS (SELECT conv_id AS doc_id, '# Conversation ' || conv_id || chr(10) || string_agg('## Turn ' || turn || ' ' || role || chr(10) || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
+HEADS = "h AS (SELECT doc_id, line, length(regexp_extract(value, '^(#+)', 1)) AS level, trim(regexp_replace(value, '^#+', '')) AS title FROM (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM f)) WHERE regexp_matches(value, '^#{1,6}[ \t]+\\S')), n AS (SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM f)"
+
+
+def folded(spark, d):
+    """Each conversation as a markdown page with a heading per turn."""
+    turn = F.concat(F.lit("## Turn "), "turn", F.lit(" "), "role", F.lit("\n"), "text")
+    grouped = P.table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", turn.alias("part")))).alias("parts"))
+    return grouped.select(F.col("conv_id").alias("doc_id"), F.lit("").alias("title"), F.concat(F.lit("# Conversation "), "conv_id", F.lit("\n"), F.array_join(F.transform("parts", lambda p: p["part"]), "\n")).alias("text"))
+
+
+def heading_rows(pages):
+    lines = pages.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value")).where(F.col("value").rlike(r"\A#{1,6}[ \t]+\S"))
+    heads = lines.select("doc_id", "line", F.length(F.regexp_extract("value", "^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("value", "^#+", "")).alias("title"))
+    return heads, pages.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"))
+
+
+@query(f"WITH {FOLDED}, {HEADS} SELECT h.doc_id, h.line, CAST(h.level AS BIGINT) AS level, h.title, CAST(coalesce(min(g.line), any_value(n.n_lines)) AS BIGINT) AS end_line FROM h JOIN n USING (doc_id) LEFT JOIN h g ON g.doc_id = h.doc_id AND g.line > h.line AND g.level <= h.level GROUP BY ALL")
+def sections_from_headings(spark, d):
+    spans = sections.heading_spans(*heading_rows(folded(spark, d)))
+    return spans.select("doc_id", F.col("line").cast("long").alias("line"), F.col("level").cast("long").alias("level"), "title", F.col("end_line").cast("long").alias("end_line"))
+
+
+@query(f"WITH {FOLDED}, {HEADS}, s AS (SELECT doc_id, line, title, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS rn, lead(line) OVER (PARTITION BY doc_id ORDER BY line) AS nxt FROM h WHERE level = 2) SELECT s.doc_id, CAST(rn AS VARCHAR) AS section_id, s.title, md5(regexp_replace(array_to_string(string_split(f.text, chr(10))[line + 1 : coalesce(nxt, n_lines)], chr(10)), '^\n+|\n+$', '', 'g')) AS digest FROM s JOIN f USING (doc_id) JOIN n USING (doc_id)")
+def section_text(spark, d):
+    rows = sections.section_rows(sections.pages(folded(spark, d)))
+    return rows.select("doc_id", "section_id", "title", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query()
+def toc(spark, d):
+    return sections.pages(folded(spark, d)).select("doc_id", "title", "preamble", "toc")
+
+
+@query(f"WITH {FOLDED}, {HEADS}, s AS (SELECT doc_id, title, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS rn FROM h WHERE level = 2) SELECT doc_id, CAST(rn - 1 AS BIGINT) AS ord, CAST(rn AS VARCHAR) AS section_id, title FROM s WHERE rn <= {C.MAX_SECTIONS_LISTED}")
+def valid_sections(spark, d):
+    rows = sections.top_sections(sections.section_rows(sections.pages(folded(spark, d))))
+    return rows.select("doc_id", F.col("ord").cast("long").alias("ord"), "section_id", "title")
+
+
+@query(f"WITH {FOLDED}, {HEADS} SELECT doc_id, false AS bare FROM h GROUP BY doc_id")
+def bare_titles(spark, d):
+    pages = folded(spark, d)
+    return sections.bare_titles(heading_rows(pages)[0], pages.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "value")))
+
+
+# --- names ---
+
+
+def parts_as_docs(spark, d):
+    part = P.table(spark, d, "part")
+    cli = F.concat(F.lit("cli "), F.lower("p_type"), F.lit(" "), "p_partkey")
+    return part.select(
+        F.col("p_partkey").alias("doc_pos"), F.concat(F.lit("GET /parts/"), "p_partkey").alias("id"), F.lit("api").alias("kind"), F.col("p_name").alias("title"), F.concat(F.lit("getPart"), "p_brand").alias("operation_id"),
+        cli.alias("cli"), F.array(F.concat(F.lit("cli part "), "p_size")).alias("cli_aliases"), F.col("p_name").alias("text"),
+    )
+
+
+PARTS = "p AS (SELECT p_partkey AS doc_pos, 'GET /parts/' || p_partkey AS id, lower('getPart' || p_brand) AS op, lower('cli ' || lower(p_type) || ' ' || p_partkey) AS c1, 'cli part ' || p_size AS c2 FROM part)"
+ALIASES = f"{PARTS}, names AS (SELECT doc_pos, id, unnest([0, 1, 2, 3, 4, 5]) AS place, unnest([op, c1, trim(regexp_replace(c1, '^cli ', '')), c2, trim(regexp_replace(c2, '^cli ', '')), lower(id)]) AS alias FROM p), aliases AS (SELECT alias, arg_min(id, (doc_pos, place)) AS id FROM names GROUP BY alias)"
+
+
+@query(f"WITH {ALIASES} SELECT alias, id FROM aliases")
+def alias_table(spark, d):
+    return resolve.alias_table(parts_as_docs(spark, d))
+
+
+@query(f"WITH {ALIASES}, asked AS (SELECT 'get   /parts/' || s_suppkey AS raw FROM supplier UNION ALL SELECT 'Cli Part ' || s_suppkey FROM supplier UNION ALL SELECT 'GET /parts/' || s_suppkey FROM supplier UNION ALL SELECT s_name FROM supplier) SELECT raw, coalesce((SELECT id FROM p WHERE p.id = raw), (SELECT id FROM aliases WHERE alias = lower(raw)), (SELECT id FROM p WHERE p.id = regexp_replace(upper(raw), ' +/PARTS', ' /parts'))) AS id FROM asked")
+def alias_resolve(spark, d):
+    docs, s = parts_as_docs(spark, d), P.table(spark, d, "supplier")
+    forms = [F.concat(F.lit("get   /parts/"), "s_suppkey"), F.concat(F.lit("Cli Part "), "s_suppkey"), F.concat(F.lit("GET /parts/"), "s_suppkey"), F.col("s_name")]
+    asked = s.select(F.explode(F.array(*forms)).alias("raw"))
+    return resolve.resolve(asked, docs, resolve.alias_table(docs))
+
+
+@query()
+def suggest(spark, d):
+    return resolve.suggest(["get /part/12", "steel tin", "xyz"], parts_as_docs(spark, d))
+
+
+@query()
+def fetch_many(spark, d):
+    pages = folded(spark, d).select(F.concat(F.lit("conv-"), "doc_id").alias("id"), F.lit("guide").alias("kind"), "title", "text")
+    return fetch.fetch_many(pages.select("id", F.lit("1").alias("section")), pages)
+
+
+# --- catalogue, status, publishing ---
+
+
+@query("SELECT lang AS kind, count(*) AS n FROM documents GROUP BY lang")
+def inventory(spark, d):
+    return status.inventory(P.documents(spark, d))
+
+
+@query("SELECT event_id, round((epoch_us(TIMESTAMP '2024-06-01 00:00:00') - epoch_us(ts)) / 86400000000.0, 6) AS age, (epoch_us(TIMESTAMP '2024-06-01 00:00:00') - epoch_us(ts)) / 86400000000.0 > 7 AS stale FROM events")
+def staleness(spark, d):
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    age = (F.unix_micros(F.lit("2024-06-01 00:00:00").cast("timestamp")) - ts) / F.lit(86_400_000_000)
+    return P.table(spark, d, "events").select("event_id", F.round(age, 6).alias("age"), (age > C.STALE_DAYS).alias("stale"))
+
+
+@query("SELECT 'doc-' || doc_id AS id, lang AS kind, CAST(length(text) AS BIGINT) AS size FROM documents UNION ALL SELECT 'page-' || page_id, 'page', CAST(length(html) AS BIGINT) FROM pages")
+def union_catalogs(spark, d):
+    pages = P.table(spark, d, "pages").select(F.concat(F.lit("page-"), "page_id").alias("id"), F.lit("page").alias("kind"), F.length("html").cast("long").alias("size"))
+    return P.documents(spark, d).select("id", "kind", F.length("text").cast("long").alias("size")).unionByName(pages, allowMissingColumns=True)
+
+
+@query("SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.\"' || unnest(json_keys(props)) || '\"') AS value FROM events")
+def json_props(spark, d):
+    return P.table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+
+
+@query("SELECT doc_id, CAST(greatest(ceil(octet_length(encode(text)) / 1000.0), 1) AS BIGINT) AS chunks, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM documents")
+def chunk_manifest(spark, d):
+    return publish.manifest(P.table(spark, d, "documents"), "doc_id", "text", 1000)
+
+
+@query("SELECT doc_id, true AS ok, sha256(text) AS sha256 FROM documents")
+def chunks_assembled(spark, d):
+    docs = P.table(spark, d, "documents")
+    whole = publish.assemble(publish.chunks(docs, "doc_id", "text", 1000), publish.manifest(docs, "doc_id", "text", 1000), "doc_id")
+    return whole.select("doc_id", "ok", F.sha2("data", 256).alias("sha256"))
+
+
+def part_spec(spark, d):
+    """A specification with an operation for each part."""
+    one_path = F.concat(F.lit('"/{apiVersion}/parts/'), "p_partkey", F.lit('":{"get":{"operationId":"getPart'), "p_partkey", F.lit('","summary":"Read part '), "p_partkey", F.lit('","x-cli-action":"view","tags":["'), "p_brand",
+                         F.lit('"],"parameters":[{"name":"size","in":"query","schema":{"type":"integer"}}]},"x-cli-command":"parts"}'))
+    return P.table(spark, d, "part").groupBy().agg(F.concat(F.lit('{"paths":{'), F.array_join(F.array_sort(F.collect_list(one_path)), ","), F.lit("}}")).alias("spec"))
+
+
+@query("SELECT 'GET /parts/' || p_partkey AS id, 'Read part ' || p_partkey AS title, 'getPart' || p_partkey AS operation_id, 'cli parts view' AS cli, 'GET /parts/' || p_partkey || ' Read part ' || p_partkey || ' ' || p_brand || ' size cli parts view' AS text FROM part")
+def api_operations(spark, d):
+    return openapi.api_docs(part_spec(spark, d)).select("id", "title", "operation_id", "cli", "text")
