@@ -63,11 +63,12 @@ def write_archives(pages: DataFrame, min_revisit: int = 0) -> str:
     spark = pages.sparkSession
     pages = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "coalesce(cast(html as string), '') html")
     pages = pages.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    slim = written(pages.groupBy("page_id", "digest").agg(F.max(F.octet_length("html")).alias("size")), "warc-pages")
+    pages = pages.withColumn("capture", F.concat_ws("/", "digest", "page_id"))  # never null, so join and window share one exchange
+    slim = written(pages.groupBy("capture", "page_id", "digest").agg(F.max(F.octet_length("html")).alias("size")), "warc-pages")
     firsts = written(slim.groupBy("digest").agg(F.min("page_id").alias("first")), "warc-firsts")
-    verdicts = written(slim.join(firsts, "digest", "left").where(f"size >= {int(min_revisit)}").selectExpr("page_id as id", "digest as payload", "first"), "warc-verdicts")
-    joined = pages.join(verdicts, F.expr("id <=> page_id and payload = digest"), "left")
-    joined = joined.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1)
+    verdicts = written(slim.join(firsts, "digest", "left").where(f"size >= {int(min_revisit)}").selectExpr("capture", "digest as payload", "first"), "warc-verdicts")
+    joined = pages.join(verdicts, "capture", "left")
+    joined = joined.withColumn("copy", F.row_number().over(Window.partitionBy("capture").orderBy("url")) - 1)
 
     def run(batches):
         for batch in pieces(batches, "html"):
