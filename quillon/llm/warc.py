@@ -30,8 +30,8 @@ RECORDS_A_FILE = 20_000
 RECORDS = "type string, record_id string, concurrent_to string, refers_to string, uri string, page_id long, payload_bytes long, payload_digest string, payload binary"
 
 
-def record_id(page_id: int | None, copy: int, kind: str) -> str:
-    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}/{page_id}/{copy}').urn}>"
+def record_id(page_id: int | None, digest: str, copy: int, kind: str) -> str:
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}/{page_id}/{digest}/{copy}').urn}>"
 
 
 def record(kind: str, fields: dict[str, str | None], block: bytes) -> str:
@@ -41,16 +41,17 @@ def record(kind: str, fields: dict[str, str | None], block: bytes) -> str:
 
 def transaction(page_id: int | None, copy: int, url: str, payload: bytes, original: tuple[int | None, int] | None) -> list[str]:
     """The three records of a capture; original: (page id, copy) of the response that a revisit points to."""
-    own = record_id(page_id, copy, "response")
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    own = record_id(page_id, digest, copy, "response")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     fields = {
         "WARC-Record-ID": own, "WARC-Target-URI": url, "Content-Type": "application/http;msgtype=response",
-        "WARC-Payload-Digest": "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode(),
+        "WARC-Payload-Digest": "sha1:" + digest,
     }
     if original:
-        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(*original, "response")}
-    ask = {"WARC-Record-ID": record_id(page_id, copy, "request"), "WARC-Target-URI": url, "WARC-Concurrent-To": own, "Content-Type": "application/http;msgtype=request"}
-    about = {"WARC-Record-ID": record_id(page_id, copy, "metadata"), "WARC-Target-URI": url, "WARC-Concurrent-To": own, "Content-Type": "application/warc-fields"}
+        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(original[0], digest, original[1], "response")}
+    ask = {"WARC-Record-ID": record_id(page_id, digest, copy, "request"), "WARC-Target-URI": url, "WARC-Concurrent-To": own, "Content-Type": "application/http;msgtype=request"}
+    about = {"WARC-Record-ID": record_id(page_id, digest, copy, "metadata"), "WARC-Target-URI": url, "WARC-Concurrent-To": own, "Content-Type": "application/warc-fields"}
     return [
         record("request", ask, b"GET / HTTP/1.1\r\nAccept: text/html\r\n\r\n"),
         record("revisit" if original else "response", fields, http + (b"" if original else payload)),
