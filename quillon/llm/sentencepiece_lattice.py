@@ -58,7 +58,8 @@ def lattice(units: DataFrame, table: DataFrame, longest: int, brief: bool) -> Da
     """unit, n (characters) and edges (array of begin, stop, id, score) of the distinct units (unit). Substrings of brief
     units are cut from the text itself, of others from their characters, which takes no longer at the end of a long one."""
     cut_out = (lambda at, size: F.substring("unit", at + 1, size)) if brief else (lambda at, size: F.array_join(F.slice("chars", at + 1, size), ""))
-    chars = units.select("unit", F.split("unit", "").alias("chars")).select("unit", F.array_remove("chars", "").alias("chars"))
+    # dealt out by unit here, while it is only the unit, so that its edges are grouped where they are made
+    chars = units.repartition("unit").select("unit", F.split("unit", "").alias("chars")).select("unit", F.array_remove("chars", "").alias("chars"))
     spans = F.flatten(
         F.transform(
             F.sequence(F.lit(0), F.size("chars") - 1),
