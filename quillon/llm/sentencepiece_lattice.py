@@ -58,8 +58,10 @@ def lattice(units: DataFrame, table: DataFrame, longest: int, brief: bool) -> Da
     """unit, n (characters) and edges (array of begin, stop, id, score) of the distinct units (unit). Substrings of brief
     units are cut from the text itself, of others from their characters, which takes no longer at the end of a long one."""
     cut_out = (lambda at, size: F.substring("unit", at + 1, size)) if brief else (lambda at, size: F.array_join(F.slice("chars", at + 1, size), ""))
-    # dealt out by unit here, while it is only the unit, so that its edges are grouped where they are made
-    chars = units.repartition("unit").select("unit", F.split("unit", "").alias("chars")).select("unit", F.array_remove("chars", "").alias("chars"))
+    # dealt out by unit here, while it is only the unit, so that its edges are grouped where they are made; into a fixed
+    # number of parts, since units are small in bytes but each takes long
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chars = units.repartition(parts, "unit").select("unit", F.split("unit", "").alias("chars")).select("unit", F.array_remove("chars", "").alias("chars"))
     spans = F.flatten(
         F.transform(
             F.sequence(F.lit(0), F.size("chars") - 1),
@@ -75,33 +77,33 @@ def lattice(units: DataFrame, table: DataFrame, longest: int, brief: bool) -> Da
     return edges.groupBy("unit").agg(F.max("n").alias("n"), F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
 
 
-def by_span(name: str) -> Column:
-    """A map from the span of each edge to its field of that name."""
-    return F.map_from_entries(F.transform("edges", lambda e: F.struct(span_key(e["begin"], e["stop"]), e[name])))
-
-
 def once(name: str, value: Column) -> Column:
     """value, which reads the column inside a lambda. A second reading keeps the optimizer from moving the column's own
     expression into the lambda, where it would be evaluated at every step."""
     return F.when(F.size(name) >= 0, value)
 
 
-def span_key(begin, stop):
-    return begin.cast("long") * (1 << 31) + stop
+def bound(value: Column, use) -> Column:
+    """use(value), where value is evaluated once however often it is read: lambdas share no subexpressions."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def merges() -> Column:
+    """The edges of two characters and more, the highest score first, then the leftmost."""
+    return F.sort_array(F.transform(F.filter("edges", lambda e: e["stop"] > e["begin"] + 1), lambda e: F.struct((-e["score"]).alias("cost"), e["begin"].alias("begin"), e["stop"].alias("stop"))))
 
 
-def fold_bpe(n: Column, scores: Column) -> Column:
-    """Cuts of the path: of all neighbours that an edge joins, the highest (then leftmost) is joined, n - 1 times."""
+def fold_bpe(n: Column, sorted_edges: Column) -> Column:
+    """Cuts of the path: each step joins the two neighbours of the first edge (merges()) that spans just two."""
 
     def step(cuts, _):
-        tried = F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(cuts) - 3, F.lit(0))),
-            lambda i: F.struct((-F.try_element_at(scores, span_key(F.get(cuts, i), F.get(cuts, i + 2)))).alias("cost"), (i + 1).alias("at")),
+        spans_two = lambda e: bound(F.array_position(cuts, e["begin"]), lambda p: (p > 0) & (F.array_position(cuts, e["stop"]) == p + 2))
+        return bound(
+            F.get(F.filter(sorted_edges, spans_two), 0),
+            lambda best: F.when(best.isNull(), cuts).otherwise(F.filter(cuts, lambda c: (c <= best["begin"]) | (c >= best["stop"]))),
         )
-        best = F.array_min(F.filter(tried, lambda t: t["cost"].isNotNull()))
-        return F.when(best.isNull(), cuts).otherwise(F.filter(cuts, lambda _, j: j != best["at"]))
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
+    return F.aggregate(F.slice(sorted_edges, 1, n - 1), F.sequence(F.lit(0), n), step)
 
 
 def fold_viterbi(n: Column, edges: Column, floor: float) -> Column:
@@ -111,8 +113,8 @@ def fold_viterbi(n: Column, edges: Column, floor: float) -> Column:
     def step(best, stop):
         back = lambda e: F.struct((F.get(best, e["begin"])["score"] + e["score"]).alias("score"), (-e["begin"]).alias("near"))
         char = F.struct((F.get(best, stop - 1)["score"] + floor).alias("score"), (F.lit(1) - stop).alias("near"))
-        top = F.array_max(F.concat(F.array(char), F.transform(F.filter(edges, lambda e: e["stop"] == stop), back)))
-        return F.concat(best, F.array(node(top["score"], F.concat(F.get(best, -top["near"])["cuts"], F.array(stop)))))
+        ways = F.concat(F.array(char), F.transform(F.filter(edges, lambda e: e["stop"] == stop), back))
+        return bound(F.array_max(ways), lambda top: F.concat(best, F.array(node(top["score"], F.concat(F.get(best, -top["near"])["cuts"], F.array(stop))))))
 
     first = F.array(node(F.lit(0.0), F.array(F.lit(0))))
     return F.get(F.aggregate(F.sequence(F.lit(1), n), first, step), n)["cuts"]
@@ -136,15 +138,6 @@ def heap_bpe(n: int, scores: dict[tuple[int, int], float]) -> list[int]:
     return [i for i in range(n + 1) if alive[i]]
 
 
-def char_ids(char: Column, byte_base: int | None, unknown: int) -> Column:
-    """Ids of a character without a piece; byte pieces have consecutive ids."""
-    if byte_base is None:
-        return F.array(F.lit(unknown))
-    raw = F.encode(char, "UTF-8")
-    one = lambda k: F.conv(F.hex(F.substring(raw, k, 1)), 16, 10).cast("int") + byte_base
-    return F.filter(F.array(*[F.when(F.octet_length(raw) >= k, one(k)) for k in range(1, 5)]), lambda x: x.isNotNull())
-
-
 def encode_units(units: DataFrame, table_rows: list, unigram: bool = False) -> DataFrame:
     """unit and ids of the distinct units (unit)."""
     if len(table_rows) > MAX_PIECES:
@@ -160,14 +153,33 @@ def encode_units(units: DataFrame, table_rows: list, unigram: bool = False) -> D
     longest = max((len(p) for _, p, _ in normal), default=1)
     floor = min((s for *_, s in normal), default=0.0) - 10
     units = written(units, "distinct-units")
-    short = lattice(units.where(F.length("unit") <= FOLD_CHARS), table, longest, True).select("unit", "n", "edges", by_span("score").alias("score_of"))
-    cuts = once("edges", fold_viterbi(F.col("n"), F.col("edges"), floor)) if unigram else once("score_of", fold_bpe(F.col("n"), F.col("score_of")))
+    short = lattice(units.where(F.length("unit") <= FOLD_CHARS), table, longest, True).select("unit", "n", "edges", merges().alias("merges"))
+    cuts = once("edges", fold_viterbi(F.col("n"), F.col("edges"), floor)) if unigram else once("merges", fold_bpe(F.col("n"), F.col("merges")))
     short = short.select("unit", "edges", cuts.alias("cuts"))
     long = lattice(units.where(F.length("unit") > FOLD_CHARS), table, longest, False).select("unit", "n", "edges").mapInArrow(long_cuts(unigram, floor), "unit string, edges array<struct<begin int, stop int, id int, score double>>, cuts array<int>")
-    both = short.unionByName(long).select("unit", "cuts", F.array_remove(F.split("unit", ""), "").alias("chars"), by_span("id").alias("id_of"))
-    found_id = lambda begin, i: F.try_element_at("id_of", span_key(begin, F.get("cuts", i + 1)))
-    one = lambda begin, i: F.when(found_id(begin, i).isNotNull(), F.array(found_id(begin, i))).otherwise(char_ids(F.get("chars", begin), base, unknown))
-    return both.select("unit", once("id_of", F.flatten(F.transform(F.slice("cuts", 1, F.size("cuts") - 1), one))).alias("ids"))
+    return short.unionByName(long).mapInArrow(ids_of_cuts(base, unknown), "unit string, ids array<int>")
+
+
+def ids_of_cuts(byte_base: int | None, unknown: int):
+    """Ids of units from their edges and cuts; a character without a piece gets its byte pieces, or the unknown one."""
+
+    def run(batches):
+        for batch in batches:
+            edges, cuts, ids = batch.column("edges"), batch.column("cuts"), []
+            begin, stop, known = (edges.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            spans = dict(zip(zip(np.repeat(np.arange(len(edges)), np.diff(edges.offsets.to_numpy())).tolist(), begin.tolist(), stop.tolist(), strict=True), known.tolist(), strict=True))
+            for row, (unit, own) in enumerate(zip(batch.column("unit").to_pylist(), cuts.to_pylist(), strict=True)):
+                out: list[int] = []
+                for a, b in zip(own, own[1:], strict=False):
+                    found = spans.get((row, a, b))
+                    if found is not None:
+                        out.append(found)
+                    else:
+                        out += [unknown] if byte_base is None else [byte_base + x for x in unit[a].encode()]
+                ids.append(out)
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "ids"])
+
+    return run
 
 
 def long_cuts(unigram: bool, floor: float):
