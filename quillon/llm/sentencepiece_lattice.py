@@ -2,14 +2,17 @@
 
 A text (with the space mark for spaces and one in front) falls into units: a run of space marks and the characters up
 to the next one. No piece reaches over the end of a unit, so each distinct unit is encoded once: its substrings of at
-most the longest piece's length are exploded and equi-joined to the piece table, the edges found are grouped by unit,
-and a Spark higher-order aggregate folds them into the best path. For a BPE model the best path is the one that greedy
-merging takes (highest score first, leftmost of equals), for which each fold step joins the two neighbours whose
-lattice edge scores highest; for a unigram model it is the Viterbi path of the highest sum. Characters without a piece
-become their byte pieces, or the unknown piece. Units of over FOLD_CHARS characters take the same path with a heap,
-in linear-logarithmic time, over the same edges.
-
-Texts and the ids of their units meet by block: documents are dealt out by a hash over blocks of about BLOCK_BYTES.
+most the longest piece's length are joined by equality to the piece table, the edges found are kept by unit, and a fold
+takes the best path over them. For a BPE model the best path is the one that greedy merging takes (highest score first,
+leftmost of equals), for which each fold step joins the two neighbours whose lattice edge scores highest; for a unigram
+model it is the Viterbi path of the highest sum. Characters without a piece become their byte pieces, or the unknown
+piece. Units of over FOLD_CHARS characters take the same path with a heap, in linear-logarithmic time.
+
+``encode`` does this in Arrow batches: explode, join and fold are array operations over all new units of a batch, a
+worker remembers KNOWN_UNITS units at most, and nothing is shuffled. ``encode_relational`` has the lattice as Spark
+tables and the fold as a higher-order aggregate; there, texts and the ids of their units meet by block of about
+BLOCK_BYTES. Both give the same rows.
+
 Null and empty texts have no pieces and decode to the empty text. Repeated rows each get their row; extra columns are
 not read. A space mark (U+2581) in a text decodes to a space, as in the library.
 """
@@ -31,6 +34,9 @@ from quillon.llm.common import as_batch, pieces, written
 MARK = "▁"
 UNIT = re.compile(MARK + "*[^" + MARK + "]+|" + MARK + "+")
 FOLD_CHARS = 48
+FOLD_UNITS = 30_000  # units folded at once
+KNOWN_UNITS = 400_000  # units whose ids a worker remembers
+NO_RANK = 1 << 30
 BLOCK_BYTES = 48 << 20
 MAX_PIECES = 1_000_000  # size checked before the piece table is broadcast
 OUT = "doc_id long, ids array<int>, decoded string"
@@ -45,6 +51,22 @@ def load_pieces(path: str) -> list[tuple[int, str, float, str]]:
     return [(i, m.id_to_piece(i), m.get_score(i), kind(i)) for i in range(m.get_piece_size())]
 
 
+def checked(table_rows: list) -> None:
+    """Raises where a piece table is too large or breaks what the lattice relies on."""
+    if len(table_rows) > MAX_PIECES:
+        raise ValueError(f"more than {MAX_PIECES} pieces are not broadcast")
+    if any(MARK in p.lstrip(MARK) for _, p, _, kind in table_rows if kind == "normal"):
+        raise ValueError("a piece reaches over a space")
+    bytes_at = sorted(i for i, *_, kind in table_rows if kind == "byte")
+    if len(bytes_at) not in (0, 256) or bytes_at and bytes_at[-1] - bytes_at[0] != 255:
+        raise ValueError("byte pieces must have 256 consecutive ids")
+
+
+def surfaces(table_rows: list) -> list[bytes]:
+    """The bytes that each id decodes to."""
+    return [bytes([int(p[3:5], 16)]) if kind == "byte" else p.encode() if kind == "normal" else b"" if kind == "control" else " ⁇ ".encode() for _, p, _, kind in table_rows]
+
+
 def normalised(text: Column) -> Column:
     text = F.coalesce(text.cast("string"), F.lit(""))
     return F.when(text == "", "").otherwise(F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK))))
@@ -120,10 +142,11 @@ def fold_viterbi(n: Column, edges: Column, floor: float) -> Column:
     return F.get(F.aggregate(F.sequence(F.lit(1), n), first, step), n)["cuts"]
 
 
-def heap_bpe(n: int, scores: dict[tuple[int, int], float]) -> list[int]:
-    """The cuts that fold_bpe gives, by a heap of neighbours."""
+def heap_bpe(n: int, scores) -> list[int]:
+    """The cuts that fold_bpe gives, by a heap of neighbours; scores: (begin, stop) of an edge to its score."""
+    score = scores.get
     after, before = list(range(1, n + 2)), list(range(-1, n + 1))
-    heap = [(-scores[i, i + 2], i, i + 2) for i in range(n - 1) if (i, i + 2) in scores]
+    heap = [(-s, i, i + 2) for i in range(n - 1) if (s := score((i, i + 2))) is not None]
     heapq.heapify(heap)
     alive = [True] * (n + 1)
     while heap:
@@ -133,21 +156,16 @@ def heap_bpe(n: int, scores: dict[tuple[int, int], float]) -> list[int]:
         alive[b] = False
         after[a], before[c] = c, a
         for x, y in ((before[a], c), (a, after[c] if c < n else n + 1)):
-            if x >= 0 and y <= n and (x, y) in scores:
-                heapq.heappush(heap, (-scores[x, y], x, y))
+            if x >= 0 and y <= n and (s := score((x, y))) is not None:
+                heapq.heappush(heap, (-s, x, y))
     return [i for i in range(n + 1) if alive[i]]
 
 
 def encode_units(units: DataFrame, table_rows: list, unigram: bool = False) -> DataFrame:
     """unit and ids of the distinct units (unit)."""
-    if len(table_rows) > MAX_PIECES:
-        raise ValueError(f"more than {MAX_PIECES} pieces are not broadcast")
+    checked(table_rows)
     normal = [(i, p, s) for i, p, s, kind in table_rows if kind == "normal"]
-    if any(MARK in p.lstrip(MARK) for _, p, _ in normal):
-        raise ValueError("a piece reaches over a space")
     bytes_at = sorted(i for i, *_, kind in table_rows if kind == "byte")
-    if len(bytes_at) not in (0, 256) or bytes_at and bytes_at[-1] - bytes_at[0] != 255:
-        raise ValueError("byte pieces must have 256 consecutive ids")
     base, unknown = bytes_at[0] if bytes_at else None, next((i for i, *_, kind in table_rows if kind == "unknown"), 0)
     table = units.sparkSession.createDataFrame(normal, "id int, piece string, score double")
     longest = max((len(p) for _, p, _ in normal), default=1)
@@ -260,7 +278,7 @@ def block_units(table: pa.Table) -> pa.Table:
 
 def assembler(table_rows: list):
     """Ids and decoded texts of a block's documents from the ids of its units."""
-    surface = [bytes([int(p[3:5], 16)]) if kind == "byte" else p.encode() if kind == "normal" else b"" if kind == "control" else " ⁇ ".encode() for _, p, _, kind in table_rows]
+    surface = surfaces(table_rows)
 
     def run(docs: pa.Table, units: pa.Table) -> pa.Table:
         ids_of = {}
@@ -280,8 +298,8 @@ def assembler(table_rows: list):
     return run
 
 
-def encode(docs: DataFrame, model_path: str, unigram: bool = False) -> DataFrame:
-    """doc_id, ids and decoded text for every row of docs (doc_id, text)."""
+def encode_relational(docs: DataFrame, model_path: str, unigram: bool = False) -> DataFrame:
+    """What encode gives, with the lattice as Spark tables and the fold as a higher-order aggregate."""
     rows = load_pieces(model_path)
     units = docs.select(F.explode(F.array_distinct(units_of(F.col("text")))).alias("unit")).distinct()
     known = written(encode_units(units, rows, unigram), "units")
@@ -295,6 +313,187 @@ def encode(docs: DataFrame, model_path: str, unigram: bool = False) -> DataFrame
     return packed.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(assembler(rows), OUT)
 
 
+class Spans:
+    """The scores of a unit's edges by (begin, stop), looked up as they are needed."""
+
+    def __init__(self, unit: str, score_of: dict[str, float], longest: int) -> None:
+        self.unit, self.score_of, self.longest = unit, score_of, longest
+
+    def get(self, span: tuple[int, int]) -> float | None:
+        begin, stop = span
+        return self.score_of.get(self.unit[begin:stop]) if stop - begin <= self.longest else None
+
+
+class Lattice:
+    """The piece table as arrays: finds the edges of many units at once and folds them."""
+
+    def __init__(self, table_rows: list, unigram: bool) -> None:
+        normal = [(i, p, s) for i, p, s, kind in table_rows if kind == "normal"]
+        self.unigram, self.longest = unigram, max((len(p) for _, p, _ in normal), default=1)
+        self.score_of = {p: s for _, p, s in normal}
+        self.ids = np.array([i for i, *_ in normal] + [-1], np.int32)
+        scores = np.array([s for *_, s in normal], float)
+        self.scores, self.floor = scores, float(scores.min(initial=0.0)) - 10
+        self.rank = np.append(np.unique(-scores, return_inverse=True)[1], NO_RANK).astype(np.int64)
+        bytes_at = sorted(i for i, *_, kind in table_rows if kind == "byte")
+        self.byte_base = bytes_at[0] if bytes_at else None
+        self.unknown = next((i for i, *_, kind in table_rows if kind == "unknown"), 0)
+        step: dict[tuple[int, int], int] = {}  # prefix and next character to the longer prefix
+        piece_of = {0: -1}
+        for row, (_, piece, _) in enumerate(normal):
+            node = 0
+            for c in map(ord, piece):
+                node = step.setdefault((node, c), len(step) + 1)
+            piece_of[node] = row
+        self.keys = np.array([n << 21 | c for n, c in step], np.int64)
+        order = np.argsort(self.keys)
+        self.keys, self.child = self.keys[order], np.array(list(step.values()), np.int64)[order]
+        self.piece_of = np.full(len(step) + 1, -1, np.int32)
+        self.piece_of[list(piece_of)] = list(piece_of.values())
+        self.known: dict[str, bytes] = {}  # ids of units, without their first space mark
+
+    def edges(self, chars: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The row in the piece table of the k + 1 characters from each i at [i, k], or -1: every substring of bounded length
+        that is the beginning of a piece, joined to the table by equality of prefix and character."""
+        found = np.full((len(chars), self.longest), -1, np.int32)
+        at, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        for k in range(self.longest):
+            inside = at + k < ends[at]
+            at, node = at[inside], node[inside]
+            key = node << 21 | chars[at + k]
+            j = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[j] == key
+            at, node = at[hit], self.child[j[hit]]
+            found[at, k] = self.piece_of[node]
+        return found
+
+    def fold(self, found: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """begin and stop of the path's edges: in each step every unit joins its two neighbours of the best edge, the
+        leftmost of equals."""
+        begin = np.arange(len(unit))
+        stop, over = begin + 1, []
+        while len(begin):
+            same = unit[1:] == unit[:-1]
+            size = stop[1:] - begin[:-1]
+            rank = np.full(len(begin), NO_RANK, np.int64)
+            ok = np.flatnonzero(same & (size <= self.longest))
+            rank[ok] = self.rank[found[begin[ok], size[ok] - 1]]
+            first = np.flatnonzero(np.append(True, ~same))
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(begin)), first)
+            more = best >> 32 < NO_RANK
+            joined = best[more] & 0xFFFFFFFF
+            stop[joined] = stop[joined + 1]
+            stays = np.repeat(more, np.diff(np.append(first, len(begin))))
+            over.append((begin[~stays], stop[~stays]))
+            stays[joined + 1] = False
+            begin, stop, unit = begin[stays], stop[stays], unit[stays]
+        begin, stop = map(np.concatenate, zip(*over, strict=True))
+        order = np.argsort(begin, kind="stable")
+        return begin[order], stop[order]
+
+    def best_sum(self, found: np.ndarray) -> list[int]:
+        """Cuts of one unit's path of the highest sum."""
+        best, back = [0.0] + [-np.inf] * len(found), [0] * (len(found) + 1)
+        for begin, row in enumerate(found):
+            for k in {0, *np.flatnonzero(row >= 0).tolist()}:
+                total = best[begin] + (self.scores[row[k]] if row[k] >= 0 else self.floor)
+                if total > best[begin + k + 1]:
+                    best[begin + k + 1], back[begin + k + 1] = total, begin
+        path = [len(found)]
+        while path[-1]:
+            path.append(back[path[-1]])
+        return path[::-1]
+
+    def spelled(self, char: str) -> list[int]:
+        """Ids of a character without a piece."""
+        return [self.unknown] if self.byte_base is None else [self.byte_base + x for x in char.encode("utf-8", "replace")]
+
+    def encode_brief(self, units: list[str]) -> list[bytes]:
+        """Ids of units, as little-endian bytes."""
+        text = "".join(units)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.cumsum(sizes)
+        unit = np.repeat(np.arange(len(units)), sizes)
+        found = self.edges(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64), ends[unit])
+        if self.unigram:
+            cuts = [a + np.array(self.best_sum(found[a:b])) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+            begin, stop = np.concatenate([c[:-1] for c in cuts]), np.concatenate([c[1:] for c in cuts])
+        else:
+            begin, stop = self.fold(found, unit)
+        ids = self.ids[found[begin, stop - begin - 1]]
+        count = np.ones(len(ids), np.int64)
+        spelled = {k: self.spelled(text[begin[k]]) for k in np.flatnonzero(ids < 0).tolist()}
+        for k, own in spelled.items():
+            count[k] = len(own)
+        flat, to = np.repeat(ids, count), np.cumsum(count)
+        for k, own in spelled.items():
+            flat[to[k] - count[k] : to[k]] = own
+        per_unit = np.append(0, to[np.searchsorted(begin, ends) - 1]) * 4
+        raw = flat.astype("<i4").tobytes()
+        return [raw[a:b] for a, b in zip(per_unit[:-1].tolist(), per_unit[1:].tolist(), strict=True)]
+
+    def encode_long(self, unit: str) -> bytes:
+        """Ids of a long unit, by a heap over the edges as they are needed."""
+        if self.unigram:
+            chars = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            cuts = self.best_sum(self.edges(chars, np.full(len(chars), len(chars))))
+        else:
+            cuts = heap_bpe(len(unit), Spans(unit, self.score_of, self.longest))
+        id_of = {p: i for p, i in zip(self.score_of, self.ids.tolist(), strict=False)}
+        out: list[int] = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            out += [id_of[unit[a:b]]] if unit[a:b] in id_of else self.spelled(unit[a])
+        return np.array(out, "<i4").tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts; each distinct unit is encoded once while remembered."""
+        cut = [tails(t) for t in texts]
+        if len(self.known) > KNOWN_UNITS:
+            self.known.clear()
+        new = [MARK + u for u in set().union(*cut) - self.known.keys()]
+        brief = [u for u in new if len(u) <= FOLD_CHARS]
+        for k in range(0, len(brief), FOLD_UNITS):
+            some = brief[k : k + FOLD_UNITS]
+            self.known.update(zip((u[1:] for u in some), self.encode_brief(some), strict=True))
+        for u in new:
+            if len(u) > FOLD_CHARS:
+                self.known[u[1:]] = self.encode_long(u)
+        get = self.known.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
+
+
+def tails(text: str) -> list[str]:
+    """The units of a text, each without its first space mark."""
+    if not text:
+        return []
+    if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+        return [u[1:] for u in marked(text)]
+    return text.split(" ")
+
+
+BUILT: dict[str, Lattice] = {}  # a worker keeps its lattices, with the units they know, from task to task
+
+
+def encode(docs: DataFrame, model_path: str, unigram: bool = False) -> DataFrame:
+    """doc_id, ids and decoded text for every row of docs (doc_id, text), in one narrow pass without a shuffle."""
+    rows = load_pieces(model_path)
+    checked(rows)
+    name = f"{zlib.crc32(pickle.dumps(rows))}-{len(rows)}-{unigram}"
+    surface = surfaces(rows)
+
+    def run(batches):
+        lattice = BUILT[name] = BUILT.get(name) or Lattice(rows, unigram)
+        for batch in pieces(batches, "text"):
+            coded = lattice(batch.column("text").to_pylist())
+            ends = np.append(0, np.cumsum([len(c) // 4 for c in coded]))
+            flat = np.frombuffer(b"".join(coded), "<i4")
+            decoded = [b"".join(map(surface.__getitem__, flat[a:b].tolist())).decode("utf-8", "replace").replace(MARK, " ")[1:] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text").mapInArrow(run, OUT)
+
+
 def sentencepiece_digest(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian 32-bit numbers), n_chars and text_sha256 of the decoded text."""
 

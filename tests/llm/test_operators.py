@@ -205,6 +205,19 @@ def test_viterbi_fold_takes_the_best_sum(spark):
     assert found["▁" + "ab" * 40] == [4] + [3] * 40
 
 
+def test_relational_lattice_equals_arrays(spark, piece_model):
+    texts = [t for t in ODD if t is None or len(t) < 2_000] + ["the thing  nation ", "梦🙂 " * 5, "ab" * 60]
+    rows = [{r["doc_id"]: (r["ids"], r["decoded"]) for r in f(frame(spark, texts), piece_model).collect()} for f in (sentencepiece_lattice.encode, sentencepiece_lattice.encode_relational)]
+    assert rows[0] == rows[1] and len(rows[0]) == len(texts)
+
+
+def test_array_lattice_takes_the_best_sum():
+    pieces_ = [(0, "<unk>", 0.0, "unknown"), (1, "▁a", -2.0, "normal"), (2, "b", -1.5, "normal"), (3, "ab", -1.0, "normal"), (4, "▁", -1.0, "normal"), (5, "a", -3.0, "normal")]
+    lattice = sentencepiece_lattice.Lattice(pieces_, unigram=True)
+    ids = [np.frombuffer(x, "<i4").tolist() for x in lattice(["ab", "a", "q", "ab" * 40, ""])]
+    assert ids == [[4, 3], [1], [4, 0], [4] + [3] * 40, []]
+
+
 def test_heap_equals_fold():
     rng = random.Random(9)
     for _ in range(200):
