@@ -30,7 +30,8 @@ from quillon.llm.common import as_batch, pieces, written
 
 MAGIC, HEAD = b"QVB1", struct.Struct("<4sIIQ")
 SHARD_IDS = 2 << 20  # a shard is closed at so many ids
-CACHE_WORDS = 600_000  # words whose ids a worker remembers
+CACHE_WORDS = 300_000  # a worker remembers the ids of about twice so many words
+RUNS_AT_ONCE = 256  # runs encoded as one text
 END_ID = 2
 U32 = "I"  # four bytes here; tokens are written in the byte order of the machine, which must be little-endian
 assert array(U32).itemsize == 4 and sys.byteorder == "little"
@@ -104,8 +105,15 @@ def parts(text: str) -> list[str]:
     return found
 
 
+#: Words of a letter run, punctuation behind it or none, and one further line or none. The byte-level pre-tokenizer cuts
+#: between any two of these runs, so the ids of such a word are those of its runs.
+LETTER, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+PLAIN = re.compile(f"([{LETTER}]+)([{SIGNS}]*\n?)((?<=\n)[{LETTER}]+[{SIGNS}]*|(?<!\n))")
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes; each distinct word is encoded once while remembered."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; each distinct word, and each distinct run of letters or
+    punctuation in words, is encoded once while remembered."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -114,20 +122,63 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # words, each encoded with a space in front
+        self.old: dict[str, bytes] = {}  # what was known before; words that come again are kept
+        self.runs: dict[str, bytes] = {"": b""}  # letters and punctuation that begin a line
+        self.signs: dict[str, bytes] = {"": b""}  # punctuation and a line feed behind letters
+        [feed] = self.ids(["\n"])
+        self.feed = int.from_bytes(feed, sys.byteorder) if len(feed) == 4 else None
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array(U32, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def ids_of_runs(self, runs: list[str], before: str = "") -> list[bytes]:
+        """Ids of runs without white space, before put in front: many to a text, with line feeds between them, which are
+        always cut off as an id of their own."""
+        if self.feed is None:
+            return self.ids([before + r for r in runs])
+        out: list[bytes] = []
+        cut = [runs[k : k + RUNS_AT_ONCE] for k in range(0, len(runs), RUNS_AT_ONCE)]
+        for own, e in zip(cut, self.tokenizer.encode_batch_fast([before + ("\n" + before).join(c) for c in cut], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            feeds = np.flatnonzero(ids == self.feed)
+            if len(feeds) != len(own) - 1:
+                out += self.ids([before + r for r in own])
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(feeds * 4 + 4).tolist()], [*(feeds * 4).tolist(), len(raw)], strict=True)]
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Remembers the ids of words that are not known."""
+        other = [w for w in words if not w.isalpha()]
+        found = [m.groups() if (m := PLAIN.fullmatch(w)) else None for w in other]
+        rest = [w for w, f in zip(other, found, strict=True) if f is None]
+        plain = [(w, *f) for w, f in zip(other, found, strict=True) if f]
+        words.difference_update(other)
+        words.update([p[1] for p in plain])
+        new = list(words - self.known.keys())
+        self.known.update(zip(new, self.ids_of_runs(new, " "), strict=True))
+        new = list({p[3] for p in plain} - self.runs.keys())
+        self.runs.update(zip(new, self.ids_of_runs(new), strict=True))
+        new = list({p[2] for p in plain} - self.signs.keys())
+        self.signs.update(zip(new, self.ids(new), strict=True))
+        self.known.update(zip(rest, self.ids([" " + w for w in rest]), strict=True))
+        known, signs, runs = self.known, self.signs, self.runs
+        known.update([(w, known[head] + signs[sign] + runs[line]) for w, head, sign, line in plain])
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [parts(t) for t in texts]
+        first = self.ids([c.pop(0) for c in cut])
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(set().union(*(c[1:] for c in cut)) - self.known.keys())
-        self.known.update(zip(new, self.ids([" " + w for w in new]), strict=True))
-        first = self.ids([c[0] for c in cut])
+            self.old, self.known = self.known, {}
+            self.runs, self.signs = {"": b""}, {"": b""}
+        new = set().union(*cut) - self.known.keys()
+        again = new & self.old.keys()
+        self.known.update([(w, self.old[w]) for w in again])
+        self.learn(new - again)
         get = self.known.__getitem__
-        return [f + b"".join(map(get, c[1:])) for f, c in zip(first, cut, strict=True)]
+        return [f + b"".join(map(get, c)) for f, c in zip(first, cut, strict=True)]
 
 
 @functools.cache
