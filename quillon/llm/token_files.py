@@ -30,7 +30,7 @@ from quillon.llm.common import as_batch, pieces, written
 
 MAGIC, HEAD = b"QVB1", struct.Struct("<4sIIQ")
 SHARD_IDS = 2 << 20  # a shard is closed at so many ids
-CACHE_WORDS = 300_000  # a worker remembers the ids of about twice so many words
+CACHE_WORDS = 500_000  # a worker remembers the ids of about twice so many words
 RUNS_AT_ONCE = 256  # runs encoded as one text
 END_ID = 2
 U32 = "I"  # four bytes here; tokens are written in the byte order of the machine, which must be little-endian
