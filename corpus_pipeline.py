@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, langid, quality, sentencepiece_lattice, simhash
+from quillon.llm import decontaminate, langid, near_copies, quality, sentencepiece_lattice
 from quillon.llm.common import table, written
 from quillon.llm.queries import vocabulary
 
@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) stays."""
+    return near_copies.deduplicate(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
