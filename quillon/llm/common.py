@@ -64,6 +64,12 @@ def class_sample(rows: DataFrame, key: str, label: str, per_class: int) -> DataF
     return rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_003)) < share * 1_000_003)
 
 
+def one_text_each(rows: DataFrame, label: str) -> DataFrame:
+    """key, label and text for each key of rows, which has one label: of several texts that with the smallest hash."""
+    least = rows.groupBy("key", label).agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return least.select("key", label, F.col("least.text").alias("text"))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that one holds about limit bytes of the column (or a single longer row)."""
     for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import PLAIN_SPACE, as_batch, class_sample, pieces, raw
+from quillon.llm.common import PLAIN_SPACE, as_batch, class_sample, one_text_each, pieces, raw
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
@@ -137,7 +137,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_
     """The model, from at most about per_class labelled rows of each class; None if a class has no rows."""
     chosen = class_sample(labels.selectExpr("cast(doc_id as long) key", "cast(quality as int) quality").groupBy("key").agg(F.max("quality").alias("quality")), "key", "quality", per_class)
     texts = docs.selectExpr("cast(doc_id as long) key", "cast(text as string) text").where(f"length(text) <= {SAMPLE_CHARS}")
-    rows = texts.join(F.broadcast(chosen), "key").limit(4 * per_class).collect()
+    rows = one_text_each(texts.join(F.broadcast(chosen), "key"), "quality").collect()
     rows = sorted({(r["key"], r["text"], r["quality"]) for r in rows}, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
     if len({q for *_, q in rows}) < 2:
         return None

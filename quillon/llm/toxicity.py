@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD_BYTES, as_batch, class_sample, fold, pieces, raw
+from quillon.llm.common import WORD_BYTES, as_batch, class_sample, fold, one_text_each, pieces, raw
 
 WINDOW, STRIDE = 48, 32
 VOCABULARY, MIN_DOCS = 2000, 8  # learned words, each in so many training documents
@@ -247,7 +247,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
     marked = labels.selectExpr("cast(doc_id as long) key", "cast(toxic as int) toxic").groupBy("key").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in marked.where("toxic is not null").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     texts = docs.selectExpr("cast(doc_id as long) key", "cast(text as string) text").where(f"length(text) <= {SAMPLE_CHARS}")
-    rows = texts.join(F.broadcast(class_sample(marked, "key", "toxic", per_class)), "key").limit(4 * per_class).collect()
+    rows = one_text_each(texts.join(F.broadcast(class_sample(marked, "key", "toxic", per_class)), "key"), "toxic").collect()
     rows = sorted({(r["key"], r["text"], r["toxic"]) for r in rows}, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
     if len({y for *_, y in rows}) < 2:
         return None
