@@ -23,7 +23,8 @@ BITS = 14
 SIZE = 1 << BITS
 ORDERS = (1, 2, 3)
 SAMPLE_PER_CLASS = 500  # bound of the training sample, documents of each language
-SAMPLE_CHARS = 50_000  # longer documents are not used for training
+SAMPLE_CHARS = 50_000  # longer documents are used for training only where a language has no other
+LONG_PER_CLASS = 20  # bound of the training sample, documents of each language that has only longer ones
 MIN_SCORE = 0.5  # below it keep_identified rejects a text
 PART = 1 << 20  # code points hashed at a time
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -126,8 +127,12 @@ def fit_languages(docs: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict |
     """The model of docs (doc_id, text, lang): all of them count for the idf, about per_class a language for the weights."""
     learnable = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang").where("text is not null and lang is not null")
     df, n = document_frequencies(learnable)
-    chosen = class_sample(learnable.where(f"length(text) <= {SAMPLE_CHARS}"), "doc_id", "lang", per_class)
-    rows = sorted({(r["doc_id"], r["text"], r["lang"]) for r in chosen.collect()}, key=lambda r: (r[0] * 2654435761 % 1000003, *r))
+    usable = learnable.where("doc_id is not null").groupBy("lang").agg(F.min(F.length("text")).alias("least"))
+    long_only = [r["lang"] for r in usable.where(F.col("least") > SAMPLE_CHARS).collect()]
+    chosen = class_sample(learnable.where(f"length(text) <= {SAMPLE_CHARS}"), "doc_id", "lang", per_class).collect()
+    if long_only:
+        chosen += class_sample(learnable.where(F.col("lang").isin(long_only)), "doc_id", "lang", min(per_class, LONG_PER_CLASS)).collect()
+    rows = sorted({(r["doc_id"], r["text"], r["lang"]) for r in chosen}, key=lambda r: (r[0] * 2654435761 % 1000003, *r))
     return train([(t, lang) for _, t, lang in rows], np.log((1 + n) / (1 + df)) + 1)
 
 
@@ -167,9 +172,13 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: dict | None, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs whose language the model tells with min_score or more, all columns as they are."""
+    """The rows of docs whose language the model tells with min_score or more, all columns as they are; those with a
+    letter if there is no model."""
     shared, names, letters = docs.sparkSession.sparkContext.broadcast(model), docs.columns, unused("letters", docs)
 
+    if model is None:
+        return docs.where(has_letters(F.col("text")))
+
     def run(batches):
         for batch in pieces(batches, "text"):
             lang, score = predict(shared.value, batch.column("text").to_pylist(), batch.column(letters).to_pylist())
