@@ -4,8 +4,12 @@ import random
 import re
 
 import corpus_pipeline
+import pytest
 
 from quillon.llm import near_copies
+from quillon.llm.common import table
+
+SF = "/root/testdata/sf0.001"
 
 COLUMNS = "doc_id long, text string, lang string, node long, keys string"
 
@@ -77,3 +81,10 @@ def test_crowded_keys(spark):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame([(i, t, "en", 1, "x") for i, t in rows], COLUMNS)
     assert sorted(r["doc_id"] for r in near_copies.deduplicate(docs).collect()) == brute_kept(rows)
+
+
+@pytest.mark.skipif(not __import__("os").path.exists(SF), reason="needs the driver's tables")
+def test_stage_on_the_smallest_table(spark):
+    docs = table(spark, SF, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == brute_kept(rows)
