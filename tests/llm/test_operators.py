@@ -433,6 +433,40 @@ def test_token_files(spark, bpe, monkeypatch):
     assert token_files.read_tokens(token_files.write_tokens(frame(spark, []), bpe)).count() == 0
 
 
+def test_encoder_cuts_as_the_library(bpe, monkeypatch):
+    """Whole texts of all kinds of characters, with a cache so small that it is emptied after every call."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 2000)
+    encode, rng = token_files.Encoder(bpe), random.Random(3)
+    bits = [*"abZ12.!'_", "é", "ß", "中", "文", "か", "٣", "½", "'s", "'re", "'ll", "'S", " ", "  ", "\n", "\t", "\r\n", "\xa0", "　", "\u2028", "\x0b", "\x1c", "\x85", "🙂", "\u0301", "Ġ", "Ċ", "<|", "|>", "\0", "\u200b", "<|endoftext|>", "\ufeff"]
+    texts = ["", "".join(bits), "中文" * 3000, "x" * 50_000, *("".join(rng.choices(bits, k=rng.randint(0, 60))) for _ in range(3000))]
+    for at in range(0, len(texts), 500):
+        own = texts[at : at + 500]
+        flat, count = encode(pa.array(["left out", *own]).slice(1))
+        assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == [x.tolist() for x in encode.whole(own)]
+
+
+def test_encoder_of_another_kind(tmp_path):
+    import pyarrow as pa
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "other.json"))
+    flat, count = token_files.Encoder(str(tmp_path / "other.json"))(pa.array(["a b", "", "c a"]))
+    assert flat.tolist() == [0, 1, 2, 0] and count.tolist() == [2, 0, 2]
+
+
+def test_token_files_null_and_repeated_ids(spark, bpe):
+    """Null ids come first, repeated ids stand side by side, and a repeated row is written as often as it occurs."""
+    docs = frame(spark, ["b", "a", "a", "c d", None], [7, 7, 7, None, None])
+    rows = token_files.read_tokens(token_files.write_tokens(docs, bpe), True).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None, None, 7, 7, 7]
+    assert sorted(map(len, (r["ids"] for r in rows))) == [1, 2, 2, 2, 3]
+    assert [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1].tolist()]
+
+
 def test_shards_round_trip():
     rng = np.random.default_rng(3)
     for n in (0, 1, 3, 4, 5, 1000):
