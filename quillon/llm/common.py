@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.scratch import dropped, scratch, shared_dir, written
+
+__all__ = ["dropped", "scratch", "shared_dir", "written"]
+LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
+
 # ASCII white space, as in the word class [^\x20\x09-\x0D]+, and the letters and digits of the class
 # [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z (every byte of a non-ASCII character belongs to a word).
 PLAIN_SPACE = b" \t\n\r\x0b\x0c"
@@ -19,28 +23,14 @@ WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <=
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
-        path = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
+BROADCAST_ROWS = 1_000_000  # of a few numbers each; a side with more rows is shuffled
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: the lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small_side(rows: DataFrame, weight: Column | None = None) -> DataFrame:
+    """A written table of a few numbers a row (or as many as the sum of weight), to be broadcast if its counted size allows
+    it, so that the texts it is joined with need not be shuffled. The join gives the same rows either way."""
+    size = rows.count() if weight is None else rows.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(rows) if size <= BROADCAST_ROWS else rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,16 +42,21 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % modulus
 
 
-def class_sample(rows: DataFrame, key: str, label: str, per_class: int) -> DataFrame:
-    """About per_class rows of each label, chosen by a hash of the key, so the same rows each time."""
+def class_sample(rows: DataFrame, key: str, label: str, per_class: int, most_classes: int | None = None) -> DataFrame:
+    """About per_class rows of each label, chosen by a hash of the key, so the same rows each time; of the most_classes most
+    frequent labels, if given."""
     rows = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    if not counts:
-        return rows
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == value, F.lit(min(1.0, per_class / n))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_003)) < share * 1_000_003)
+    counts = rows.groupBy(label).agg(F.count("*").alias("rows_of_label"))
+    if most_classes is not None:
+        counts = counts.orderBy(F.desc("rows_of_label"), label).limit(most_classes)
+    chance = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_003)) * F.col("rows_of_label") < per_class * 1_000_003
+    return rows.join(small_side(written(counts, "labels")), label).where(chance).select(*rows.columns)
+
+
+def window_of(text: Column, most: int) -> Column:
+    """The text, or of a longer one `most` characters from a place that its hash picks: what a sample row may hold at most."""
+    place = F.pmod(F.xxhash64(text), F.length(text) - F.lit(most - 1)) + 1
+    return F.when(F.length(text) <= most, text).otherwise(F.substring(text, place.cast("int"), F.lit(most)))
 
 
 def one_text_each(rows: DataFrame, label: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import written
+from quillon.llm.common import dropped, written
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -15,13 +15,14 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     last = None
     for _ in range(most_rounds):
         mark = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == last:
+        if mark == last or not mark[0]:
             return stars.selectExpr("u node", "v root")
         last = mark
         both = stars.unionByName(stars.selectExpr("v u", "u v"))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = written(both.join(least, "u").where("v > u").selectExpr("v u", "m v").distinct(), "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").where("v <> m").selectExpr("v u", "m v").unionByName(least.selectExpr("u", "m v"))
-        stars = written(small.distinct(), "small")
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        small = large.join(lower, "u").where("v <> m").selectExpr("v u", "m v").unionByName(lower.selectExpr("u", "m v"))
+        before, stars = stars, written(small.distinct(), "small")
+        dropped(before, least, large, lower)
     raise RuntimeError("the components did not settle")

@@ -1,33 +1,34 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands name candidates, the texts decide.
+"""Near-duplicates by the Jaccard similarity of word shingles, beyond the reach of a fingerprint's radius.
 
 A text is the set of its runs of SHINGLE (5) words, words as in simhash; a text with fewer words is one run, one without
 words the empty set. Two texts link if their sets have a similarity of SIMILARITY (0.8) or more, counted exactly on 64-bit
-hashes of the runs. Candidates share one of BANDS (32) keys, each made of ROWS (6) minima; a pair at 0.8 shares none with
-probability (1 - 0.8^6)^32 = 0.00006, a pair at 0.9 practically never.
-
-Equal sets are one node, so copies are never expanded into pairs. A key's nodes are first compared with one of them, then
-with one outside its largest component; only nodes of one key that are still in different components are paired. Pairs
-left out lie within one component, so no link between components is lost. Before, pairs go whose intersection cannot be
-large enough, because too many of their runs are in no other candidate.
-
-Null ids may link other documents; a row without id stays only if all ids of its component are null.
+hashes of the runs. Equal sets are one node, so copies are never expanded into pairs.
+
+Candidates come from two sides. First the nodes whose SimHash fingerprints pigeonring ties together (simhash.links), each
+compared with one node of its group. Then nodes that share one of BANDS (32) keys, each made of ROWS (6) minima; a pair at
+0.8 shares none with probability (1 - 0.8^6)^32 = 0.00006, a pair at 0.9 practically never. A key's nodes are compared with
+LEADERS of them, one after the other, the one first that has the least share of runs of its own: what differs little from
+it links to it, so a large group of near copies needs few comparisons a node. Only nodes of one key that are still in
+different components are paired. Pairs left out lie within one component, so no link between components is lost. Before,
+pairs go whose intersection cannot be large enough, because too many of their runs are in no other candidate.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import as_batch, pieces, raw, unused, written
+from quillon.llm.common import LOWER, as_batch, dropped, pieces, raw, written
 from quillon.llm.graph import connected
-from quillon.llm.simhash import LOWER
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
-LEADERS = 2  # nodes that all others of a key are compared with before nodes are paired
+LEADERS = 3  # nodes that all others of a key are compared with before nodes are paired
 PART = 256  # shingles whose minima are taken at a time
 ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -70,8 +71,17 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def with_nodes(docs: DataFrame, row: str, node: str, n: str, keys: str, size: int) -> DataFrame:
-    """docs with a number for each row, its set's hash, the set's size and its keys, in columns of those names."""
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of hashes, as a signed number."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype("<u8")
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def with_nodes(docs: DataFrame, row: str, node: str, n: str, fp: str, keys: str, size: int) -> DataFrame:
+    """docs with a number for each row, its set's hash, the set's size, fingerprint and keys, in columns of those names."""
 
     def run(batches):
         from xxhash import xxh64_intdigest
@@ -80,12 +90,13 @@ def with_nodes(docs: DataFrame, row: str, node: str, n: str, keys: str, size: in
             sets = [shingles(t, size) for t in raw(batch, "text")]
             nodes = pa.array(np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
             held = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            for name, column in ((node, nodes), (n, pa.array([len(s) for s in sets], pa.int64())), (keys, held)):
+            prints = pa.array([majority(s) for s in sets], pa.int64())
+            for name, column in ((node, nodes), (n, pa.array([len(s) for s in sets], pa.int64())), (fp, prints), (keys, held)):
                 batch = batch.append_column(name, column)
             yield batch
 
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    more = [T.StructField(node, T.LongType()), T.StructField(n, T.LongType()), T.StructField(keys, T.ArrayType(T.LongType()))]
+    more = [T.StructField(node, T.LongType()), T.StructField(n, T.LongType()), T.StructField(fp, T.LongType()), T.StructField(keys, T.ArrayType(T.LongType()))]
     return numbered.mapInArrow(run, T.StructType([*numbered.schema.fields, *more]))
 
 
@@ -119,53 +130,53 @@ def lone_shingles(texts: DataFrame, size: int) -> DataFrame:
     return held.where("many = 1").groupBy("node").agg(F.count("*").alias("lone"))
 
 
-def node_roots(nodes: DataFrame, texts: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """node and root for the nodes (node, n, keys) that link to another; texts has node and text."""
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """node, n and key for the keys of nodes (node, n, keys) that several nodes have, written."""
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
-    members = written(members.join(shared, "key"), "members")
-    texts = written(texts.join(members.select("node").distinct(), "node", "left_semi"), "texts")
+    return written(members.join(shared, "key"), "members")
+
+
+def node_roots(members: DataFrame, ties: DataFrame, texts: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """node and root for the nodes that link to another. members: node, n, key of nodes that share keys; ties: pairs (a, b)
+    to try before; texts: node and text of all of them, written."""
+    edges = [written(similar(ties, texts, least, size), "similar")]
+    roots = written(connected(edges[0]), "roots")
     # hashes that one candidate has alone are in no intersection: what they leave bounds it. The margin is for floats
     lone = written(lone_shingles(texts, size), "lone")
-    members = members.join(lone, "node", "left").select("key", "node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"), F.col("node").alias("root"))
-    members = written(members.where(F.col("common") >= F.col("n") * (least - 1e-9)), "members")
+    common = F.col("n") - F.coalesce("lone", F.lit(0))
+    members = members.join(lone, "node", "left").select("key", "node", "n", common.alias("common")).where(common >= F.col("n") * (least - 1e-9))
+    members = still_apart(members, roots)
     may = F.least("common", "c") * (1 + least) >= (F.col("n") + F.col("m")) * (least - 1e-9)
-    edges = members.selectExpr("node a", "root b").where("false")
-    roots, tried = members.select("node", "root").where("false"), None
+    tried = ties
     for turn in range(LEADERS + 1):
         other = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("common").alias("c"), F.col("root").alias("own"))
         if turn < LEADERS:
-            parts = members.groupBy("key", "root").agg(F.count("*").alias("many"), F.min("node").alias("first"))
+            plainest = F.min(F.struct(((F.col("n") - F.col("common")) / F.col("n")).alias("alone"), F.col("node").alias("b"))).alias("first")
+            parts = members.groupBy("key", "root").agg(F.count("*").alias("many"), plainest)
             if turn:
                 main = parts.groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("main"))
                 parts = parts.join(main, "key").where("root <> main")
-            leaders = parts.groupBy("key").agg(F.min("first").alias("b"))
+            leaders = parts.groupBy("key").agg(F.min("first").alias("first")).select("key", "first.b")
             pairs = members.join(other.join(leaders, ["key", "b"]), "key").where("root <> own")
         else:
             pairs = members.join(other, "key").where("root < own")
         pairs = pairs.where(may).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        tried = pairs if tried is None else tried.union(pairs)
-        edges = edges.union(written(similar(pairs, texts, least, size), "similar"))
-        roots = written(connected(edges), "roots")
-        placed = members.drop("root").join(roots, "node", "left").select("key", "node", "n", "common", F.coalesce("root", "node").alias("root"))
-        several = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        members = written(placed.join(several, "key"), "members")
+        tried = tried.union(pairs)
+        edges.append(written(similar(pairs, texts, least, size), "similar"))
+        before, roots = roots, written(connected(reduce(DataFrame.union, edges)), "roots")
+        apart = still_apart(members.drop("root"), roots)
+        dropped(before, members)
+        members = apart
+    dropped(lone, members, tried, *edges)
     return roots
 
 
-def deduplicate(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """One row of docs for each component, that of its smallest id, all columns as they are. Of rows that share that id
-    the one whose set has the smallest hash stays, then the one whose text has; of rows with the same id and text any one."""
-    row, node, n, keys = (unused(x, docs) for x in ("row_number", "node", "n_shingles", "keys"))
-    marked = written(with_nodes(docs, row, node, n, keys, size), "marked")
-    text = F.col("text").cast("string")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), F.col(node).alias("node"), F.xxhash64(text).alias("t"), F.col(row).alias("row"))
-    nodes = written(marked.groupBy(F.col(node).alias("node")).agg(F.min(rank).alias("best"), F.first(n).alias("n"), F.first(keys).alias("keys")), "nodes")
-    own = nodes.select(F.col("best.row").alias("r"))
-    texts = marked.select(F.col(row).alias("r"), F.col(node).alias("node"), text.alias("text")).join(own, "r", "left_semi").select("node", "text")
-    roots = node_roots(nodes.select("node", "n", "keys"), texts, least, size)
-    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
-    return marked.join(written(kept, "kept"), row, "left_semi").select(*docs.columns)
+def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members with their roots, of the keys whose nodes are in several components, written."""
+    placed = members.join(roots, "node", "left").select("key", "node", "n", "common", F.coalesce("root", "node").alias("root"))
+    several = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return written(placed.join(several, "key"), "apart")

@@ -15,21 +15,18 @@ ids of a component are null. Repeated rows each get their row; extra columns are
 
 from __future__ import annotations
 
-import string
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillon.llm.common import as_batch, pieces, raw, unused, written
+from quillon.llm import near_copies
+from quillon.llm.common import LOWER, as_batch, dropped, pieces, raw, small_side, unused, written
 from quillon.llm.graph import connected
 
 SHINGLE, SEED, RADIUS, SEGMENTS = 3, 42, 3, 4
 WIDTH = 64 // SEGMENTS
 HOT = 256
-LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -81,12 +78,12 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     """Pairs (a, b) of the distinct fingerprints nodes (fp) that tie together all within RADIUS bits."""
     starts = F.array(*[F.struct(F.lit(k).alias("start"), ring_key("fp", k).alias("key")) for k in range(SEGMENTS)])
     index = nodes.select("fp", F.inline(starts))
-    # a turned bit is looked for from the side where it is 0, an equal next segment from the larger fingerprint
+    # a turned bit is looked for from the side where it is 0; where the next segments are equal too, a pair is taken once
     turned = F.filter(F.transform(F.array(*[F.lit(1 << b) for b in range(WIDTH)]), lambda bit: F.when(F.col("key").bitwiseAND(bit) == 0, F.col("key").bitwiseOR(bit))), lambda k: k.isNotNull())
-    probe = index.select("fp", "start", F.explode(F.concat(F.array("key"), turned)).alias("key"))
+    probe = index.select("fp", "start", F.posexplode(F.concat(F.array("key"), turned)).alias("place", "key")).withColumn("turned", F.col("place") > 0)
     crowded = written(index.groupBy("key").count().where(F.col("count") > hot).select("key"), "hot-keys")
     rare = lambda side: side.join(crowded, "key", "left_anti")
-    near = rare(probe).withColumnRenamed("fp", "a").join(rare(index).selectExpr("fp b", "key"), "key").where("a <> b").where(chain_holds()).select("a", "b")
+    near = rare(probe).withColumnRenamed("fp", "a").join(rare(index).selectExpr("fp b", "key"), "key").where("a <> b and (turned or a > b)").where(chain_holds()).select("a", "b")
     if crowded.isEmpty():
         return near
     ones, twos = index.join(crowded, "key", "left_semi").select("fp").distinct(), probe.join(crowded, "key", "left_semi").select("fp").distinct()
@@ -118,25 +115,39 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, that of its component_id, all columns as they are. Of rows that share that
-    id, the one whose fingerprint is smallest stays; of rows with the same id and text any one."""
-    prints = written(fingerprints(docs), "fingerprints")
-    own = prints.join(components(prints), "fp").where("doc_id <=> component_id")
-    kept = own.groupBy("root").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("keep_id")).select(F.col("fp").alias("keep_fp"), "keep_id")
-    kept = written(kept, "kept")
-    fp, copy = unused("fp", docs), unused("copy", docs)
-    marked = with_fingerprint(docs, fp).join(kept, F.expr(f"keep_id <=> cast(doc_id as long) and keep_fp = {fp}"), "left_semi")
-    first = Window.partitionBy("doc_id", fp).orderBy("text")
-    return marked.withColumn(copy, F.row_number().over(first)).where(f"{copy} = 1").select(*docs.columns)
-
-
-def with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
-    """docs with its fingerprints as a column of that name."""
-
-    def run(batches):
-        for batch in pieces(batches, "text"):
-            fp = np.array([fingerprint(t) for t in raw(batch, "text")], np.uint64).view(np.int64)
-            yield batch.append_column(name, pa.array(fp))
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+def tied(nodes: DataFrame, hot: int = HOT) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp), a < b: each node whose fingerprint others are tied to, with the first of its group."""
+    roots = written(connected(links(nodes.select("fp").distinct(), hot)), "fp-roots")
+    placed = nodes.select("node", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    groups = placed.groupBy("root").agg(F.min("node").alias("a"), F.count("*").alias("many")).where("many > 1")
+    pairs = written(placed.join(groups, "root").where("node <> a").select("a", F.col("node").alias("b")), "ties")
+    dropped(roots)
+    return pairs
+
+
+def deduplicate(docs: DataFrame, least: float = near_copies.SIMILARITY, size: int = near_copies.SHINGLE, hot: int = HOT) -> DataFrame:
+    """One row of docs for each component of texts whose sets of `size`-word shingles have a similarity of `least` or more,
+    all columns as they are. Fingerprints of the sets within RADIUS bits are tried first, by the same pigeonring filter as
+    above; near_copies finds the rest and decides.
+
+    The row of the component's smallest id stays. Of rows that share that id the one whose set has the smallest hash stays,
+    then the one whose text has; of rows with the same id and text any one. Null ids may link other documents; a row
+    without id stays only if all ids of its component are null. Null and empty texts are one empty set.
+    """
+    row, node, n, fp, keys = (unused(x, docs) for x in ("row_number", "node", "n_shingles", "fp", "keys"))
+    marked = written(near_copies.with_nodes(docs, row, node, n, fp, keys, size), "marked")
+    text = F.col("text").cast("string")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), F.col(node).alias("node"), F.xxhash64(text).alias("t"), F.col(row).alias("row"))
+    nodes = written(marked.groupBy(F.col(node).alias("node")).agg(F.min(rank).alias("best"), F.first(n).alias("n"), F.first(fp).alias("fp"), F.first(keys).alias("keys")), "nodes")
+    ties = tied(nodes.where("n > 0"), hot)
+    members = near_copies.shared_keys(nodes.select("node", "n", "keys"))
+    tried = members.select("node").union(ties.select("a")).union(ties.select("b")).distinct()
+    own = written(nodes.join(tried, "node").select(F.col("best.row").alias("r")), "candidates")
+    texts = written(marked.select(F.col(row).alias("r"), F.col(node).alias("node"), text.alias("text")).join(small_side(own), "r", "left_semi").select("node", "text"), "texts")
+    roots = near_copies.node_roots(members, ties, texts, least, size)
+    dropped(members, own, texts, ties)
+    placed = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "best")
+    kept = written(placed.groupBy("root").agg(F.min_by("best.row", "best").alias("keep")).select("root", "keep"), "kept")
+    stays = placed.join(kept, "root").select(F.col("node").alias(node), "keep")
+    gone = written(marked.select(row, node).join(stays, node).where(F.col(row) != F.col("keep")).select(row), "gone")
+    return marked.join(small_side(gone), row, "left_anti").select(*docs.columns)

@@ -6,7 +6,7 @@ import re
 import corpus_pipeline
 import pytest
 
-from quillon.llm import near_copies
+from quillon.llm import simhash
 from quillon.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -65,7 +65,7 @@ def test_planted_copies_go(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == brute_kept(rows)
-    assert near_copies.deduplicate(docs.where("false")).count() == 0
+    assert simhash.deduplicate(docs.where("false")).count() == 0
 
 
 def test_crowded_keys(spark):
@@ -80,7 +80,7 @@ def test_crowded_keys(spark):
         texts.append(" ".join(copy))
     rows = list(enumerate(texts))
     docs = spark.createDataFrame([(i, t, "en", 1, "x") for i, t in rows], COLUMNS)
-    assert sorted(r["doc_id"] for r in near_copies.deduplicate(docs).collect()) == brute_kept(rows)
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == brute_kept(rows)
 
 
 @pytest.mark.skipif(not __import__("os").path.exists(SF), reason="needs the driver's tables")
