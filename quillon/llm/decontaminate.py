@@ -1,9 +1,11 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Texts are lower-cased (A-Z) and cut to words. An item's windows are its runs of WINDOW words (an item with fewer words
-is one window). The windows form a hash set on their first LEAD words, broadcast if its counted size is at most
-BROADCAST_WINDOWS and joined by shuffle otherwise. One scan looks every document position up in that set; positions
-found are verified word for word. Words inside an occurrence of a window are hit.
+is one window). The windows form a hash set on their first LEAD words (all words of a shorter window). One scan looks
+every document position up in that set; a second counts the words and, of documents with positions found, cuts out the
+windows there, which are then verified word for word. Words inside an occurrence of a window are hit. The set and the
+positions are broadcast while their counted size allows it, and the texts are then never shuffled; beyond, both are joined
+by shuffle.
 
 A document is known by (doc_id, hash and length of its text), so repeated rows get the same result and each its row.
 Null and empty texts have no words; items without words have no window; items without an id are not reported. An empty
@@ -18,10 +20,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD_BREAK, written
+from quillon.llm.common import WORD_BREAK, dropped, small_side, written
 
 WINDOW, LEAD = 10, 4
-BROADCAST_WINDOWS = 500_000
+BROADCAST_BYTES = 48 << 20  # of the windows' words and items
+# the words of a text that is not lower-cased
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 KEY = ("doc_id", "text_hash", "text_size")
 
 
@@ -47,9 +51,10 @@ def lead_hash(words: Column, at: Column, lead: int) -> Column:
     return F.xxhash64(*[F.get(words, at + k) for k in range(lead)])
 
 
-def lead_hashes(lead: int) -> Column:
-    """The lead hash of every position of words."""
-    return F.transform("words", lambda w, i: F.xxhash64(w, *[F.get("words", i + k) for k in range(1, lead)]))
+def lead_hashes(leads: list[int]) -> Column:
+    """For every position of words the hashes of the leads there, one behind the other."""
+    of = lambda w, i: F.array(*[F.xxhash64(w, *[F.get("words", i + k) for k in range(1, n)]) for n in leads])
+    return F.flatten(F.transform("words", of))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
@@ -68,40 +73,40 @@ def same_text(a: str, b: str) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in KEY])
 
 
-def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document with hits: KEY, spans (set of at, size) and items (set of ids)."""
+def scanned(docs: DataFrame, items: DataFrame, all_docs: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(KEY and n_words of the documents with a position found, or of all; KEY, spans (set of at, size) and items (set of
+    ids) of the documents with hits), both written."""
     windows = written(benchmark_windows(items), "windows")
-    sizes = [(r["size"], r["lead"], r["n"]) for r in windows.groupBy("size", "lead").agg(F.count("*").alias("n")).collect()]  # WINDOW rows at most
-    small = sum(n for *_, n in sizes) <= BROADCAST_WINDOWS
-    side = F.broadcast if small else (lambda df: df)
-    base = keyed(docs)
-    found = []
-    for lead in sorted({lead for _, lead, _ in sizes}):
-        at = base.select(*KEY, F.posexplode(lead_hashes(lead)).alias("at", "lead_key"))
-        found.append(at.join(side(windows.where(F.col("lead") == lead).select("lead_key").distinct()), "lead_key", "left_semi").select(*KEY, "at"))
-    if not found:
-        spot = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size")))
-        return base.where("false").select(*KEY, spot.alias("spans"), F.array(F.lit(0).cast(items.schema["item_id"].dataType)).alias("items"))
-    places = written(reduce(DataFrame.union, found).groupBy(*KEY).agg(F.collect_set("at").alias("places")), "places")
-    # the texts themselves are shuffled, never the longer word arrays, and cut again after the join
+    sizes = [(r["size"], r["lead"], r["bytes"]) for r in windows.groupBy("size", "lead").agg(F.sum(F.octet_length("window") + 16 * F.size("items")).alias("bytes")).collect()]  # WINDOW rows at most
+    side = F.broadcast if sum(n for *_, n in sizes) <= BROADCAST_BYTES else (lambda df: df)
+    leads = sorted({lead for _, lead, _ in sizes}) or [LEAD]
+    at = keyed(docs).select(*KEY, F.posexplode(lead_hashes(leads)).alias("place", "lead_key"))
+    found = at.join(side(windows.select("lead_key").distinct()), "lead_key", "left_semi")
+    places = written(found.groupBy(*KEY).agg(F.collect_set((F.col("place") / len(leads)).cast("int")).alias("places")), "places")
+    # where texts are shuffled after all, it is the texts themselves, never the longer word arrays
     texts = docs.select(*key_columns(), F.col("text").cast("string").alias("text"))
-    near = texts.alias("d").join(places.hint("shuffle_hash").alias("p"), same_text("d", "p"))
-    near = near.select(*[F.col(f"d.{k}") for k in KEY], words_of(F.col("text")).alias("words"), F.explode("places").alias("at"))
-    spans = F.filter(
-        F.array(*[F.when(F.col("at") + s <= F.size("words"), F.struct(F.lit(s).alias("size"), F.array_join(F.slice("words", F.col("at") + 1, s), " ").alias("window"))) for s in sorted({s for s, *_ in sizes})]),
-        lambda x: x.isNotNull(),
-    )
-    tried = near.select(*KEY, "at", F.inline(spans))
-    hits = tried.join(side(windows.select("size", "window", "items")), ["size", "window"])
-    return hits.groupBy(*KEY).agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    joined = texts.alias("d").join(small_side(places, F.size("places")).hint("shuffle_hash").alias("p"), same_text("d", "p"), "left" if all_docs else "inner")
+    near = joined.select(*[F.col(f"d.{k}") for k in KEY], words_of(F.col("text")).alias("words"), "places")
+    lengths = sorted({n for n, *_ in sizes}) or [WINDOW]
+    cut = lambda at, n: F.struct(at.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice("words", at + 1, n), " ").alias("window"))
+    windows_at = lambda at: F.array(*[F.when(at + n <= F.size("words"), cut(at, n)) for n in lengths])
+    tried = F.when(F.col("places").isNotNull(), F.array_compact(F.flatten(F.transform("places", windows_at))))
+    counted = written(near.select(*KEY, F.size("words").cast("long").alias("n_words"), tried.alias("tried")), "counted")
+    hits = counted.where("tried is not null").select(*KEY, F.inline("tried")).join(side(windows.select("size", "window", "items")), ["size", "window"])
+    hits = written(hits.groupBy(*KEY).agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")), "hits")
+    dropped(windows, places)
+    return counted.select(*KEY, "n_words"), hits
+
+
+def covered() -> Column:
+    """The sorted numbers of the words in spans."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1)))))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs (doc_id, text)."""
-    hits = written(find_hits(docs, items), "hits")
-    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1)))))
-    brief = hits.select(*KEY, covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",").alias("ids"))
-    all_docs = keyed(docs).select(*KEY, F.size("words").cast("long").alias("n_words"))
+    all_docs, hits = scanned(docs, items, True)
+    brief = hits.select(*KEY, F.size(covered()).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",").alias("ids"))
     joined = all_docs.alias("d").join(brief.hint("merge").alias("h"), same_text("d", "h"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
@@ -110,18 +115,28 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def same_row(d: str, h: str) -> Column:
+    """Whether a row of documents, alias d, is the one that alias h has the KEY of."""
+    text = F.col(f"{d}.text").cast("string")
+    return F.col(f"{d}.doc_id").cast("long").eqNullSafe(F.col(f"{h}.doc_id")) & (F.xxhash64(text) == F.col(f"{h}.text_hash")) & (F.length(text) == F.col(f"{h}.text_size"))
+
+
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs without a hit, all columns as they are."""
-    hits = written(find_hits(docs, items).select(*KEY), "hits")
-    text = F.col("d.text").cast("string")
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("h.doc_id")) & (F.xxhash64(text) == F.col("h.text_hash")) & (F.length(text) == F.col("h.text_size"))
-    return docs.alias("d").join(hits.alias("h"), same, "left_anti")
+    hits = written(scanned(docs, items)[1].select(*KEY), "hit-keys")
+    return docs.alias("d").join(small_side(hits).alias("h"), same_row("d", "h"), "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id and clean: each document's words that no window covers, joined by spaces."""
-    hits = written(find_hits(docs, items), "hits")
-    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))))
-    joined = keyed(docs).alias("d").join(hits.select(*KEY, covered.alias("covered")).alias("h"), same_text("d", "h"), "left")
-    left = F.filter("words", lambda w, i: ~F.coalesce(F.array_contains("covered", i), F.lit(False)))
-    return joined.select(F.col("d.doc_id").alias("doc_id"), F.array_join(left, " ").alias("clean"))
+    """doc_id and clean: each document's text without the stretches from the first to the last word of covered words; all
+    else, signs and line ends around a stretch too, stays as it is. Null stays null."""
+    hits = written(scanned(docs, items)[1].select(*KEY, covered().alias("covered")), "spans")
+    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).alias("d").join(small_side(hits, F.size("covered")).alias("h"), same_row("d", "h"), "left")
+    cut = joined.select(F.col("d.doc_id").cast("long").alias("doc_id"), "text", "covered", F.regexp_extract_all("text", F.lit(ANY_CASE_WORD), 0).alias("own"), F.split("text", ANY_CASE_WORD, -1).alias("between"))
+    cut = cut.select("*", F.size("own").alias("n"))
+    # the stretches between covered words, each with what stands before its first word if a covered word comes before
+    stretches = F.zip_with(F.concat(F.array(F.lit(-1)), "covered"), F.concat("covered", F.array("n")), lambda a, b: F.struct((a + 1).alias("begin"), b.alias("end")))
+    stretches = F.filter(stretches, lambda s: (s["begin"] < s["end"]) | (s["end"] == F.col("n")))
+    words = lambda s: F.zip_with(F.slice("own", s["begin"] + 1, s["end"] - s["begin"]), F.slice("between", s["begin"] + 2, s["end"] - s["begin"]), lambda w, after: F.concat(w, after))
+    kept = F.transform(stretches, lambda s: F.concat(F.get("between", s["begin"]), F.array_join(words(s), "")))
+    return cut.select("doc_id", F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(kept, "")).alias("clean"))
