@@ -26,7 +26,8 @@ from quillon.llm.common import as_batch, pieces, scratch, written
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_A_FILE = 20_000
+FILE_BYTES, MOST_RECORDS = 64 << 20, 20_000  # a file holds about so many bytes of records, and never more than so many records
+HEAD_BYTES = 1_500  # a page's three records without its payload, about
 RECORDS = "type string, record_id string, concurrent_to string, refers_to string, uri string, page_id long, payload_bytes long, payload_digest string, payload binary"
 
 
@@ -68,6 +69,8 @@ def write_archives(pages: DataFrame, min_revisit: int = 0) -> str:
     slim = written(pages.groupBy("capture", "page_id", "digest").agg(F.max(F.octet_length("html")).alias("size")), "warc-pages")
     firsts = written(slim.groupBy("digest").agg(F.min("page_id").alias("first")), "warc-firsts")
     verdicts = written(slim.join(firsts, "digest", "left").where(f"size >= {int(min_revisit)}").selectExpr("capture", "digest as payload", "first"), "warc-verdicts")
+    mean = slim.agg(F.coalesce(F.avg("size"), F.lit(0.0))).first()[0] + HEAD_BYTES
+    records_a_file = max(3, min(MOST_RECORDS, int(3 * FILE_BYTES / mean)))
     joined = pages.join(verdicts, "capture", "left")
     joined = joined.withColumn("copy", F.row_number().over(Window.partitionBy("capture").orderBy("url")) - 1)
 
@@ -82,7 +85,7 @@ def write_archives(pages: DataFrame, min_revisit: int = 0) -> str:
 
     path = scratch(spark, "warc-archives")
     lines = joined.select("page_id", "url", "html", "payload", "first", "copy").mapInArrow(run, "value string")
-    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
     return path
 
 
@@ -162,7 +165,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row per transaction: record_id, refers_to, uri, and structs request, response, metadata."""
+    """One nested row per transaction: record_id, refers_to, uri, and structs request, response, metadata. The records are
+    written first, so the archives are parsed once."""
+    records = written(records, "warc-records")
     side = lambda kind: records.where(F.col("type") == kind).select(F.col("concurrent_to").alias("record_id"), F.struct("record_id", "uri", "page_id").alias(kind))
     answers = records.where("type in ('response', 'revisit')").select(
         "record_id", "refers_to", "uri", F.struct("type", "payload_bytes", "payload_digest", "payload").alias("response")
