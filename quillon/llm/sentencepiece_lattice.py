@@ -6,10 +6,11 @@ most the longest piece's length are joined by equality to the piece table, the e
 takes the best path over them. For a BPE model the best path is the one that greedy merging takes (highest score first,
 leftmost of equals), for which each fold step joins the two neighbours whose lattice edge scores highest; for a unigram
 model it is the Viterbi path of the highest sum. Characters without a piece become their byte pieces, or the unknown
-piece. Units of over FOLD_CHARS characters take the same path with a heap, in linear-logarithmic time.
+piece. Units of over FOLD_CHARS characters, such as whole texts without spaces, are cut where no piece spans two
+characters and folded in stretches; longer stretches take the same path with a heap, in linear-logarithmic time.
 
 ``encode`` does this in Arrow batches: explode, join and fold are array operations over all new units of a batch, a
-worker remembers KNOWN_UNITS units at most, and nothing is shuffled. ``encode_relational`` has the lattice as Spark
+worker remembers brief units up to KNOWN_BYTES, and nothing is shuffled. ``encode_relational`` has the lattice as Spark
 tables and the fold as a higher-order aggregate; there, texts and the ids of their units meet by block of about
 BLOCK_BYTES. Both give the same rows.
 
@@ -26,7 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import as_batch, pieces, written
@@ -35,7 +36,8 @@ MARK = "▁"
 UNIT = re.compile(MARK + "*[^" + MARK + "]+|" + MARK + "+")
 FOLD_CHARS = 48
 FOLD_UNITS = 30_000  # units folded at once
-KNOWN_UNITS = 400_000  # units whose ids a worker remembers
+KNOWN_BYTES, UNIT_BYTES = 120 << 20, 230  # bound of the units that a worker remembers, and what one costs beside its text and ids
+PART_CHARS = 1 << 17  # characters of a long unit folded at once
 NO_RANK = 1 << 30
 BLOCK_BYTES = 48 << 20
 MAX_PIECES = 1_000_000  # size checked before the piece table is broadcast
@@ -350,7 +352,9 @@ class Lattice:
         self.keys, self.child = self.keys[order], np.array(list(step.values()), np.int64)[order]
         self.piece_of = np.full(len(step) + 1, -1, np.int32)
         self.piece_of[list(piece_of)] = list(piece_of.values())
-        self.known: dict[str, bytes] = {}  # ids of units, without their first space mark
+        self.known: dict[str, bytes] = {}  # ids of brief units, without their first space mark
+        self.held = 0  # bytes they take, about
+        self.id_of = {p: i for i, p, _ in normal}
 
     def edges(self, chars: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The row in the piece table of the k + 1 characters from each i at [i, k], or -1: every substring of bounded length
@@ -367,10 +371,11 @@ class Lattice:
             found[at, k] = self.piece_of[node]
         return found
 
-    def fold(self, found: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def fold(self, found: np.ndarray, unit: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """begin and stop of the path's edges: in each step every unit joins its two neighbours of the best edge, the
-        leftmost of equals."""
-        begin = np.arange(len(unit))
+        leftmost of equals. used: which characters take part, all of a unit or none."""
+        begin = np.arange(len(unit)) if used is None else np.flatnonzero(used)
+        unit = unit[begin]
         stop, over = begin + 1, []
         while len(begin):
             same = unit[1:] == unit[:-1]
@@ -387,6 +392,8 @@ class Lattice:
             over.append((begin[~stays], stop[~stays]))
             stays[joined + 1] = False
             begin, stop, unit = begin[stays], stop[stays], unit[stays]
+        if not over:
+            return begin, stop
         begin, stop = map(np.concatenate, zip(*over, strict=True))
         order = np.argsort(begin, kind="stable")
         return begin[order], stop[order]
@@ -414,54 +421,100 @@ class Lattice:
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         ends = np.cumsum(sizes)
         unit = np.repeat(np.arange(len(units)), sizes)
-        found = self.edges(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64), ends[unit])
+        found = self.edges(code_points(text), ends[unit])
         if self.unigram:
             cuts = [a + np.array(self.best_sum(found[a:b])) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-            begin, stop = np.concatenate([c[:-1] for c in cuts]), np.concatenate([c[1:] for c in cuts])
+            path = np.concatenate([c[:-1] for c in cuts]), np.concatenate([c[1:] for c in cuts])
         else:
-            begin, stop = self.fold(found, unit)
+            path = self.fold(found, unit)
+        flat, to = self.spell_out(text, found, *path)
+        per_unit = np.append(0, to[np.searchsorted(path[0], ends) - 1]) * 4
+        raw = flat.tobytes()
+        return [raw[a:b] for a, b in zip(per_unit[:-1].tolist(), per_unit[1:].tolist(), strict=True)]
+
+    def spell_out(self, text: str, found: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of a path's edges, number of ids up to the end of each edge)."""
         ids = self.ids[found[begin, stop - begin - 1]]
+        miss = np.flatnonzero(ids < 0)
+        if self.byte_base is None or not len(miss):
+            ids[miss] = self.unknown
+            return ids.astype("<i4"), np.arange(1, len(ids) + 1)
+        chars = code_points(text)[begin[miss]]
+        size = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000).astype(np.int64)
+        size[(chars >= 0xD800) & (chars < 0xE000)] = 1  # half of a surrogate pair is spelled as a question mark
         count = np.ones(len(ids), np.int64)
-        spelled = {k: self.spelled(text[begin[k]]) for k in np.flatnonzero(ids < 0).tolist()}
-        for k, own in spelled.items():
-            count[k] = len(own)
+        count[miss] = size
         flat, to = np.repeat(ids, count), np.cumsum(count)
-        for k, own in spelled.items():
-            flat[to[k] - count[k] : to[k]] = own
-        per_unit = np.append(0, to[np.searchsorted(begin, ends) - 1]) * 4
-        raw = flat.astype("<i4").tobytes()
-        return [raw[a:b] for a, b in zip(per_unit[:-1].tolist(), per_unit[1:].tolist(), strict=True)]
+        spelled = chars.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace")
+        flat[flat < 0] = np.frombuffer(spelled, np.uint8).astype(np.int32) + self.byte_base
+        return flat.astype("<i4"), to
 
     def encode_long(self, unit: str) -> bytes:
-        """Ids of a long unit, by a heap over the edges as they are needed."""
+        """Ids of a long unit, a part of PART_CHARS characters at a time. No merge reaches over a place that no edge of two
+        characters or more spans, so the stretches between such places are folded side by side; longer stretches, and a
+        part without such a place, take the same path with a heap."""
         if self.unigram:
-            chars = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-            cuts = self.best_sum(self.edges(chars, np.full(len(chars), len(chars))))
-        else:
-            cuts = heap_bpe(len(unit), Spans(unit, self.score_of, self.longest))
-        id_of = {p: i for p, i in zip(self.score_of, self.ids.tolist(), strict=False)}
+            cuts = self.best_sum(self.edges(code_points(unit), np.full(len(unit), len(unit))))
+            return self.ids_between(unit, cuts)
+        out, at = [], 0
+        while at < len(unit):
+            part = unit[at : at + PART_CHARS + self.longest]
+            found = self.edges(code_points(part), np.full(len(part), len(part)))
+            ahead = np.where(found[:, ::-1] >= 0, np.arange(self.longest, 0, -1), 1).max(axis=1)
+            reach = np.maximum.accumulate(np.arange(len(part)) + ahead)
+            places = np.append(0, np.flatnonzero(reach[:-1] == np.arange(1, len(part))) + 1)
+            if at + len(part) < len(unit):
+                places = places[places <= PART_CHARS]
+                if places[-1] == 0:
+                    out.append(self.by_heap(unit[at:]))
+                    break
+                part = part[: places[-1]]
+                places = places[:-1]
+            size = np.diff(np.append(places, len(part)))
+            brief = np.repeat(size <= FOLD_CHARS, size)
+            begin, stop = self.fold(found[: len(part)], np.repeat(np.arange(len(size)), size), brief)
+            flat, to = self.spell_out(part, found, begin, stop)
+            upto = np.append(0, to)
+            done = 0
+            for a, n in zip(places[size > FOLD_CHARS].tolist(), size[size > FOLD_CHARS].tolist(), strict=True):
+                out += [flat[upto[np.searchsorted(begin, done)] : upto[np.searchsorted(begin, a)]].tobytes(), self.by_heap(part[a : a + n])]
+                done = a + n
+            out.append(flat[upto[np.searchsorted(begin, done)] :].tobytes())
+            at += len(part)
+        return b"".join(out)
+
+    def by_heap(self, text: str) -> bytes:
+        return self.ids_between(text, heap_bpe(len(text), Spans(text, self.score_of, self.longest)))
+
+    def ids_between(self, text: str, cuts: list[int]) -> bytes:
         out: list[int] = []
         for a, b in zip(cuts, cuts[1:], strict=False):
-            out += [id_of[unit[a:b]]] if unit[a:b] in id_of else self.spelled(unit[a])
+            known = self.id_of.get(text[a:b])
+            out += self.spelled(text[a]) if known is None else [known]
         return np.array(out, "<i4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts; each distinct unit is encoded once while remembered."""
+        """Ids of whole texts; each distinct unit is encoded once, and brief ones are remembered."""
         cut = [tails(t) for t in texts]
-        if len(self.known) > KNOWN_UNITS:
+        if self.held > KNOWN_BYTES:
             self.known.clear()
+            self.held = 0
         new = [MARK + u for u in set().union(*cut) - self.known.keys()]
         brief = [u for u in new if len(u) <= FOLD_CHARS]
         for k in range(0, len(brief), FOLD_UNITS):
             some = brief[k : k + FOLD_UNITS]
-            self.known.update(zip((u[1:] for u in some), self.encode_brief(some), strict=True))
-        for u in new:
-            if len(u) > FOLD_CHARS:
-                self.known[u[1:]] = self.encode_long(u)
-        get = self.known.__getitem__
+            coded = self.encode_brief(some)
+            self.known.update(zip((u[1:] for u in some), coded, strict=True))
+            self.held += sum(map(len, some)) + sum(map(len, coded)) + UNIT_BYTES * len(some)
+        long = {u[1:]: self.encode_long(u) for u in new if len(u) > FOLD_CHARS}
+        get = self.known.__getitem__ if not long else lambda u: long[u] if u in long else self.known[u]
         return [b"".join(map(get, c)) for c in cut]
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+
+
 def tails(text: str) -> list[str]:
     """The units of a text, each without its first space mark."""
     if not text:
@@ -507,8 +560,3 @@ def sentencepiece_digest(docs: DataFrame, model_path: str) -> DataFrame:
 
     coded = encode(docs, model_path).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded string")
     return coded.select("doc_id", "n_pieces", "ids_crc32", F.length("decoded").cast("long").alias("n_chars"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("text_sha256"))
-
-
-def model_of(spark: SparkSession, path: str) -> DataFrame:
-    """The piece table of a model file."""
-    return spark.createDataFrame(load_pieces(path), "id int, piece string, score double, kind string")
