@@ -6,7 +6,8 @@ counts every learnable document. The weights are learned on a bounded sample by
 temperature fitted on rows the weights were not trained on.
 
 A null text, or one without a letter, is UND with score 0; so is every text if there is nothing to learn from.
-Repeated rows each get their row; extra columns are not read.
+Of languages with one probability the first in order is predicted. Learning takes one text of each id and language, that
+with the smallest hash. Repeated rows each get their row; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -16,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import as_batch, class_sample, fold, pieces, unused
+from quillon.llm.common import as_batch, class_sample, fold, pieces, unused, window_of
 
 UND = "und"
 BITS = 14
 SIZE = 1 << BITS
 ORDERS = (1, 2, 3)
 SAMPLE_PER_CLASS = 500  # bound of the training sample, documents of each language
-SAMPLE_CHARS = 50_000  # longer documents are used for training only where a language has no other
-LONG_PER_CLASS = 20  # bound of the training sample, documents of each language that has only longer ones
+SAMPLE_CHARS = 50_000  # bound of a training row: of a longer text so many characters, from a place its hash picks
+MAX_LANGUAGES = 200  # bound of the classes: the most frequent values of lang
 MIN_SCORE = 0.5  # below it keep_identified rejects a text
 PART = 1 << 20  # code points hashed at a time
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -123,16 +124,15 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, n
 
 
-def fit_languages(docs: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict | None:
-    """The model of docs (doc_id, text, lang): all of them count for the idf, about per_class a language for the weights."""
+def fit_languages(docs: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_chars: int = SAMPLE_CHARS, most_classes: int = MAX_LANGUAGES) -> dict | None:
+    """The model of docs (doc_id, text, lang): all of them count for the idf, about per_class a language for the weights, of
+    up to most_chars characters each (see window_of), of the most_classes most frequent languages."""
     learnable = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang").where("text is not null and lang is not null")
     df, n = document_frequencies(learnable)
-    usable = learnable.where("doc_id is not null").groupBy("lang").agg(F.min(F.length("text")).alias("least"))
-    long_only = [r["lang"] for r in usable.where(F.col("least") > SAMPLE_CHARS).collect()]
-    chosen = class_sample(learnable.where(f"length(text) <= {SAMPLE_CHARS}"), "doc_id", "lang", per_class).collect()
-    if long_only:
-        chosen += class_sample(learnable.where(F.col("lang").isin(long_only)), "doc_id", "lang", min(per_class, LONG_PER_CLASS)).collect()
-    rows = sorted({(r["doc_id"], r["text"], r["lang"]) for r in chosen}, key=lambda r: (r[0] * 2654435761 % 1000003, *r))
+    chosen = class_sample(learnable, "doc_id", "lang", per_class, most_classes)
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    rows = chosen.withColumn("text", window_of(F.col("text"), most_chars)).collect()
+    rows = sorted(((r["doc_id"], r["text"], r["lang"]) for r in rows), key=lambda r: (r[0] * 2654435761 % 1000003, *r))
     return train([(t, lang) for _, t, lang in rows], np.log((1 + n) / (1 + df)) + 1)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import PLAIN_SPACE, as_batch, class_sample, one_text_each, pieces, raw
+from quillon.llm.common import PLAIN_SPACE, as_batch, class_sample, one_text_each, pieces, raw, window_of
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
@@ -26,7 +26,7 @@ ORDERS = (3, 4)
 MIX = np.array([0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x27D4EB2F165667C5, 0x369DEA0F31A53F85, 0x5851F42D4C957F2D], np.int64)  # odd numbers
 MIN_QUALITY = 0.25  # fixed threshold on the calibrated probability that a row is good
 SAMPLE_PER_CLASS = 1500  # bound of the training sample, rows of each label
-SAMPLE_CHARS = 50_000  # labelled rows longer than this are not used for training
+SAMPLE_CHARS = 50_000  # bound of a training row: of a longer text so many characters, from a place its hash picks
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality double"
 
 
@@ -133,11 +133,12 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 12, rate: float = 1.0, l2
     return {"words": w[:SIZE].astype(np.float32), "chars": w[SIZE:].astype(np.float32), "bias": bias, "a": max(a, 1e-3), "b": b}
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict | None:
-    """The model, from at most about per_class labelled rows of each class; None if a class has no rows."""
-    chosen = class_sample(labels.selectExpr("cast(doc_id as long) key", "cast(quality as int) quality").groupBy("key").agg(F.max("quality").alias("quality")), "key", "quality", per_class)
-    texts = docs.selectExpr("cast(doc_id as long) key", "cast(text as string) text").where(f"length(text) <= {SAMPLE_CHARS}")
-    rows = one_text_each(texts.join(F.broadcast(chosen), "key"), "quality").collect()
+def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_chars: int = SAMPLE_CHARS) -> dict | None:
+    """The model, from about per_class labelled rows of each class, of up to most_chars characters each (see window_of);
+    None if a class has no rows."""
+    chosen = class_sample(labels.selectExpr("cast(doc_id as long) key", "cast(cast(quality as int) > 0 as int) quality").groupBy("key").agg(F.max("quality").alias("quality")), "key", "quality", per_class)
+    texts = docs.selectExpr("cast(doc_id as long) key", "cast(text as string) text").where("text is not null")
+    rows = one_text_each(texts.join(F.broadcast(chosen), "key"), "quality").withColumn("text", window_of(F.col("text"), most_chars)).collect()
     rows = sorted({(r["key"], r["text"], r["quality"]) for r in rows}, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
     if len({q for *_, q in rows}) < 2:
         return None

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD_BYTES, as_batch, class_sample, fold, one_text_each, pieces, raw
+from quillon.llm.common import WORD_BYTES, as_batch, class_sample, fold, one_text_each, pieces, raw, window_of
 
 WINDOW, STRIDE = 48, 32
 VOCABULARY, MIN_DOCS = 2000, 8  # learned words, each in so many training documents
 CHAR_BITS = 12
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 10, 6, 10, 8
 SAMPLE_PER_CLASS = 1200  # bound of the training sample, documents of each label
-SAMPLE_CHARS = 20_000  # longer documents are not used for training
+SAMPLE_CHARS = 200_000  # bound of a training row: of a longer text so many characters, from a place its hash picks
 BATCH = 1024
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -242,16 +242,17 @@ def train(rows: list[tuple[bytes, int]], prior: float | None = None, epochs: int
     return m | {"a": max(a, 1e-3), "b": b}
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict | None:
-    """The model, from at most about per_class labelled rows of each class; None if a class has no rows."""
-    marked = labels.selectExpr("cast(doc_id as long) key", "cast(toxic as int) toxic").groupBy("key").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in marked.where("toxic is not null").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    texts = docs.selectExpr("cast(doc_id as long) key", "cast(text as string) text").where(f"length(text) <= {SAMPLE_CHARS}")
-    rows = one_text_each(texts.join(F.broadcast(class_sample(marked, "key", "toxic", per_class)), "key"), "toxic").collect()
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_chars: int = SAMPLE_CHARS) -> dict | None:
+    """The model, from about per_class labelled rows of each class, of up to most_chars characters each (see window_of);
+    None if a class has no rows."""
+    marked = labels.selectExpr("cast(doc_id as long) key", "cast(cast(toxic as int) > 0 as int) toxic").groupBy("key").agg(F.max("toxic").alias("toxic"))
+    share = marked.agg(F.avg((F.col("toxic") > 0).cast("int"))).first()[0]
+    texts = docs.selectExpr("cast(doc_id as long) key", "cast(text as string) text").where("text is not null")
+    rows = one_text_each(texts.join(F.broadcast(class_sample(marked, "key", "toxic", per_class)), "key"), "toxic").withColumn("text", window_of(F.col("text"), most_chars)).collect()
     rows = sorted({(r["key"], r["text"], r["toxic"]) for r in rows}, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
     if len({y for *_, y in rows}) < 2:
         return None
-    return train([(t.encode(), int(y > 0)) for _, t, y in rows], sum(n for y, n in counts.items() if y > 0) / sum(counts.values()))
+    return train([(t.encode(), int(y > 0)) for _, t, y in rows], share)
 
 
 def score_toxicity(docs: DataFrame, model: dict | None) -> DataFrame:

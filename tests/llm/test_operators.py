@@ -197,6 +197,21 @@ def test_sentencepiece_equals_library(spark, piece_model):
     assert sentencepiece_lattice.encode(frame(spark, []), piece_model).count() == 0
 
 
+def test_long_units_equal_the_library(piece_model, monkeypatch):
+    """Texts without spaces, in parts so small that many are cut, and stretches that no place cuts."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model)
+    rng = random.Random(12)
+    bits = ["the", "tion", "中", "文", "日本", "かな", "x", "é", "ing", "1", "…", "ß", "🙂", "a"]
+    texts = ["中文" * 500, "x" * 700, "".join(chr(rng.randrange(0x4E00, 0x6000)) for _ in range(3000)), *("".join(rng.choices(bits, k=rng.randint(30, 300))) for _ in range(60)), *("".join(rng.choices("aeinorst", k=200)) for _ in range(30))]
+    for part in (1 << 17, 64):
+        monkeypatch.setattr(sentencepiece_lattice, "PART_CHARS", part)
+        lattice = sentencepiece_lattice.Lattice(sentencepiece_lattice.load_pieces(piece_model), False)
+        assert [np.frombuffer(c, "<i4").tolist() for c in lattice(texts)] == [library.encode(t) for t in texts]
+        assert not any(len(u) >= sentencepiece_lattice.FOLD_CHARS for u in lattice.known)
+
+
 def test_viterbi_fold_takes_the_best_sum(spark):
     pieces_ = [(0, "<unk>", 0.0, "unknown"), (1, "▁a", -2.0, "normal"), (2, "b", -1.5, "normal"), (3, "ab", -1.0, "normal"), (4, "▁", -1.0, "normal"), (5, "a", -3.0, "normal")]
     units = spark.createDataFrame([("▁ab",), ("▁a",), ("▁q",), ("▁" + "ab" * 40,)], "unit string")
@@ -392,7 +407,25 @@ def test_decontamination(spark):
     assert clean.columns == docs.columns
     assert {r["doc_id"] for r in clean.collect()} == {i for i, t in enumerate(texts) if not brute_hits(t, windows)[1]}
     spans = {r["doc_id"]: r["clean"] for r in decontaminate.remove_spans(docs, bench).collect()}
-    assert all(len(list(filter(None, spans[i].split(" ")))) == brute_hits(t, windows)[0] - brute_hits(t, windows)[1] for i, t in enumerate(texts))
+    assert spans == {i: brute_clean(t, windows) for i, t in enumerate(texts)}
+    text = "Hello, World! (ZZ yy-XX)\tBye.\n\nÉnd"
+    row = decontaminate.remove_spans(frame(spark, [text]), bench.where("item_id = 3")).first()
+    assert row["clean"] == "Hello, World! ()\tBye.\n\nÉnd"
+
+
+def brute_clean(text, windows):
+    """The text without each stretch from the first to the last of neighbouring hit words."""
+    if text is None:
+        return None
+    words = list(re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text))
+    lower = [low(w[0]) for w in words]
+    hit = {i + k for n in {len(w) for w in windows} for i in range(len(lower) - n + 1) if tuple(lower[i : i + n]) in windows for k in range(n)}
+    out, at = "", 0
+    for i in sorted(hit):
+        if i - 1 not in hit:
+            out += text[at : words[i].start()]
+        at = words[i].end()
+    return out + text[at:]
 
 
 def test_decontamination_repeated_rows_and_empty_benchmark(spark):

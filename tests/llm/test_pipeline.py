@@ -4,8 +4,9 @@ import corpus_pipeline
 import pytest
 
 import __spark_entry__
-from quillon.llm import langid, quality, simhash
+from quillon.llm import langid, quality
 from quillon.llm.common import table
+from test_near_copies import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,10 +27,10 @@ def test_pipeline_equals_the_operators_by_hand(spark):
     kept = {r["doc_id"] for r in langid.identify(docs, langid.fit_languages(langid.learnable(docs))).where("score >= 0.5").collect()}
     second = docs.where(docs["doc_id"].isin(list(kept)))
     good = {r["doc_id"] for r in quality.quality_rules(second, quality.fit_quality(second, table(spark, SF, "labels"))).where("kept").collect()}
-    components = simhash.near_duplicates(docs.where(docs["doc_id"].isin(list(good)))).collect()
-    single = {r["doc_id"] for r in components if r["doc_id"] == r["component_id"]}
     import re
 
+    single = set(brute_kept([(i, rows[i]) for i in good]))
+
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     runs = set()
     for r in table(spark, SF, "benchmark").collect():
