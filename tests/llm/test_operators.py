@@ -533,14 +533,69 @@ def test_license_templates():
     no = ["one two", "one end", "one two x y z end", "one two four five six end"]
     assert all(licenses.accepts(a, t.encode().split(), 0) for t in yes)
     assert not any(licenses.accepts(a, t.encode().split(), 0) for t in no)
-    scan = licenses.scanner(licenses.PHRASES, licenses.TEMPLATES)
+    scan = licenses.scanner(licenses.PHRASES, licenses.TEMPLATES, licenses.REFERENCES)
     assert scan(b"Licensed under the GNU General Public License, version 3.")[5] == "gpl,gpl-3.0"
-    assert scan(b"Released under the MIT License.")[5:] == ("mit", 1.0)
+    assert scan(b"Released under the MIT License.")[5:] == ("mit", licenses.REFERENCE)
     for wrong in ("<<beginOptional>> x <<endOptional>>", "x <<beginOptional>> y"):
         with pytest.raises(ValueError):
             licenses.compile_template(wrong)
 
 
+def plain_match(tokens, words, at=0):
+    """Whether the template's tokens match words from `at` on, by trying every way."""
+    if not tokens:
+        return True
+    head, rest = tokens[0], tokens[1:]
+    if head == "[":
+        depth = end = 0
+        for end, t in enumerate(tokens):
+            depth += {"[": 1, "]": -1}.get(t, 0)
+            if not depth:
+                break
+        return plain_match(tokens[1:end] + tokens[end + 1 :], words, at) or plain_match(tokens[end + 1 :], words, at)
+    if isinstance(head, int):
+        return any(plain_match(rest, words, at + n) for n in range(min(head, len(words) - at) + 1))
+    return at < len(words) and words[at] == head and plain_match(rest, words, at + 1)
+
+
+def test_license_automata_equal_plain_matching():
+    rng = random.Random(13)
+    for _ in range(300):
+        tokens, depth = [rng.choice("ab")], 0
+        for _ in range(rng.randint(1, 10)):
+            kind = rng.random()
+            if kind < 0.15 and depth < 2:
+                tokens.append("[")
+                depth += 1
+            elif kind < 0.3 and depth and tokens[-1] != "[":
+                tokens.append("]")
+                depth -= 1
+            else:
+                tokens.append(rng.randint(0, 3) if kind > 0.85 else rng.choice("abc"))
+        tokens += [rng.choice("abc")] + ["]"] * depth
+        marks = {"[": "<<beginOptional>>", "]": "<<endOptional>>"}
+        a = licenses.compile_template(" ".join(f"<<var;{t}>>" if isinstance(t, int) else marks.get(t, t) for t in tokens))
+        for _ in range(30):
+            words = [tokens[0], *rng.choices("abc", k=rng.randint(0, 9))]
+            assert licenses.accepts(a, [w.encode() for w in words], 0) == plain_match(tokens, words), (tokens, words)
+
+
+def test_whole_licenses():
+    """Each template's own wording is accepted, with other holders too; with a mandatory word changed it is not."""
+    scan = licenses.scanner(licenses.PHRASES, licenses.TEMPLATES, {})
+    for label, many in licenses.TEMPLATES.items():
+        for template in many:
+            text = re.sub(r"<<var;\d+>>", " acme ", re.sub(r"<<(begin|end)Optional>>", " ", template)).strip()
+            row = scan(f"x. {text.upper() if label == 'mit' else text} y".encode())
+            assert label in row[5].split(",") and row[6] == licenses.FULL, label
+            if label != "copyright-notice":
+                words = text.split()
+                near = " ".join([*words[:-2], "changed", words[-1]]).encode()
+                assert label not in scan(near)[5].split(",") and 0.2 < scan(near)[6] < licenses.FULL, label
+    both = licenses.CONDITIONS + licenses.NO_NAMES + licenses.DISCLAIMER
+    assert scan(re.sub("<<[^>]*>>", " ", both).encode())[5] == "bsd-3-clause"
+
+
 # --- 10 WARC ---
 
 
