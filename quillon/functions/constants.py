@@ -23,6 +23,7 @@ MAX_ID, MAX_SECTION, MAX_QUERY, MAX_URL = 256, 256, 1000, 1024
 MIN_K, MAX_K, DEFAULT_K = 1, 20, 5
 SMALL_DOC, MAX_SECTION_TEXT, MAX_SECTIONS_LISTED, TOC_PREAMBLE = 8192, 40_000, 60, 2000
 STALE_DAYS = 7
+MAX_REASON = 120
 MIN_GUIDES, MIN_OPERATIONS = 300, 400
 CHUNK_BYTES = 900 * 1024
 BODY_DEPTH, OPTIONAL_NAMES, PARAM_CHARS, CARD_LINE_CHARS, SEARCH_LINE_CHARS = 2, 20, 110, 220, 300

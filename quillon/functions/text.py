@@ -68,16 +68,6 @@ def strip_closed_comments(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)<!--.*?-->", "")
 
 
-def strip_all_comments(text: Column) -> Column:
-    """Comments go, one that does not close with all after it (for texts without code fences)."""
-    return F.regexp_replace(text, r"(?s)<!--.*?(-->|\z)", "")
-
-
-def strip_closing_hashes(title: Column) -> Column:
-    """An ATX heading's closing hashes, if a blank stands before them or nothing else is left."""
-    return F.rtrim(F.regexp_replace(title, r"(^|[ \t]+)#+\z", ""), F.lit(" \t"))
-
-
 # --- the same in DuckDB SQL ---
 
 SQL_STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"

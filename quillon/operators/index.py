@@ -1,7 +1,8 @@
 """Inverted index of a document table: postings, document statistics, corpus statistics.
 
-A document has doc_pos (its key), id, kind, title and text. All statistics of a document come from one pass over its
-arrays of tokens without a shuffle; only the postings are aggregated, by (doc_pos, term) with a partial aggregation.
+A document has doc_pos (its key), id, kind, title and text. ``analysed`` reads each text once: a document's postings, length
+and ratio are worked out within its row, without a shuffle. A build writes that table and takes all others from it; the
+postings are shuffled once, into term order, when the index is saved.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import constants as C
 from quillon.functions import text as X
+from quillon.sources.scratch import dropped, scratch, spread, written
 
+ROW_GROUP_BYTES = 16 << 20  # postings are read by row group
 
 @dataclass(frozen=True)
 class Index:
@@ -38,20 +41,37 @@ def tokenized(docs: DataFrame) -> DataFrame:
     )
 
 
+def analysed(docs: DataFrame) -> DataFrame:
+    """doc_pos, id, kind, length (weighted), ratio (distinct share of the body's tokens, 1 for an empty body) and posted
+    (term, weight), in one pass. The tokens, as often as they weigh, are sorted; equal neighbours are one posting."""
+    times = lambda c, w: F.flatten(F.array_repeat(c, w)) if w > 1 else F.col(c)
+    weighed = F.concat(times("title", C.TITLE_WEIGHT), times("name", C.TITLE_WEIGHT), times("heading", C.HEADING_WEIGHT), times("body", C.BODY_WEIGHT))
+    ratio = F.when(F.size("body") > 0, F.size(F.array_distinct("body")) / F.size("body")).otherwise(1.0)
+    rows = tokenized(spread(docs)).select("doc_pos", "id", "kind", ratio.alias("ratio"), F.sort_array(weighed).alias("sorted"))
+    # lambdas read their own arguments only: a column read in one may be worked out again at each of its steps
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), "sorted"), 1, F.size("sorted"))
+    pairs = F.arrays_zip(F.col("sorted").alias("term"), before.alias("before"))
+    begins = F.filter(F.transform(pairs, lambda p, i: F.when(p["before"].isNull() | (p["term"] != p["before"]), i)), lambda i: i.isNotNull())
+    rows = rows.select("*", F.size("sorted").alias("n"), begins.alias("begins"))
+    ends = F.slice(F.concat("begins", F.array("n")), 2, F.size("begins"))
+    weights = F.zip_with("begins", ends, lambda begin, end: (end - begin).cast("long"))
+    posted = F.arrays_zip(F.array_distinct("sorted").alias("term"), weights.alias("weight"))
+    return rows.select("doc_pos", "id", "kind", F.col("n").cast("long").alias("length"), "ratio", posted.alias("posted"))
+
+
+def postings_of(rows: DataFrame) -> DataFrame:
+    """doc_pos, term, weight of analysed documents."""
+    return rows.select("doc_pos", F.inline("posted"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """doc_pos, term, weight."""
-    weights = {"title": C.TITLE_WEIGHT, "name": C.TITLE_WEIGHT, "heading": C.HEADING_WEIGHT, "body": C.BODY_WEIGHT}
-    parts = [F.arrays_zip(F.col(c).alias("term"), F.array_repeat(F.lit(w), F.size(c)).alias("weight")) for c, w in weights.items()]
-    rows = tokenized(docs).select("doc_pos", F.inline(F.concat(*[p.cast("array<struct<term:string,weight:int>>") for p in parts])))
-    return rows.groupBy("doc_pos", "term").agg(F.sum("weight").alias("weight"))
+    return postings_of(analysed(docs))
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_pos, id, kind, length (weighted) and ratio (distinct share of the body's tokens, 1 for an empty body)."""
-    size = lambda c, w: F.size(c) * w
-    length = size("title", C.TITLE_WEIGHT) + size("name", C.TITLE_WEIGHT) + size("heading", C.HEADING_WEIGHT) + size("body", C.BODY_WEIGHT)
-    ratio = F.when(F.size("body") > 0, F.size(F.array_distinct("body")) / F.size("body")).otherwise(1.0)
-    return tokenized(docs).select("doc_pos", "id", "kind", length.cast("long").alias("length"), ratio.alias("ratio"))
+    return analysed(docs).drop("posted")
 
 
 def upper_median(rows: DataFrame, key: str, value: str, cells: int = 1000) -> DataFrame:
@@ -71,14 +91,20 @@ def upper_median(rows: DataFrame, key: str, value: str, cells: int = 1000) -> Da
     return inside.withColumn("before", before).where("before <= place and place < before + n").select(key, F.col(value).alias("median"))
 
 
-def doc_stats(docs: DataFrame) -> DataFrame:
-    """doc_pos, id, kind, length, norm_length: the length, longer for bodies more repetitive than their kind's median."""
-    rows = measured(docs)
+def stats_of(rows: DataFrame) -> DataFrame:
+    """doc_pos, id, kind, length, norm_length of a written table of analysed documents: the length, longer for bodies more
+    repetitive than their kind's median."""
+    rows = rows.select("doc_pos", "id", "kind", "length", "ratio")
     joined = rows.join(upper_median(rows, "kind", "ratio"), "kind", "left")
     norm = F.when(F.col("ratio") > 0, F.col("length") * F.pow(F.col("median") / F.col("ratio"), F.lit(C.REPETITION_POWER))).otherwise(F.col("length").cast("double"))
     return joined.select("doc_pos", "id", "kind", "length", norm.alias("norm_length"))
 
 
+def doc_stats(docs: DataFrame) -> DataFrame:
+    """stats_of the documents, whose texts are read once."""
+    return stats_of(written(measured(docs), "measured"))
+
+
 def corpus_stats(stats: DataFrame) -> DataFrame:
     """n and avg_length over all documents, empty ones too."""
     return stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length"))
@@ -90,24 +116,36 @@ def term_stats(posted: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame) -> Index:
-    posted, stats = postings(docs), doc_stats(docs)
-    return Index(docs, posted, stats, corpus_stats(stats), term_stats(posted))
+    """The index of docs, its tables in the shared folder: read once, written twice (as it is read, and in term order)."""
+    path = scratch(docs.sparkSession, "index")
+    write_index(docs, path)
+    return load_index(docs.sparkSession, path, docs)
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """Builds the tables of an index but the documents themselves. Postings and terms lie in term order, so the least and
+    greatest terms of a row group tell whether a lookup needs it."""
+    spark = docs.sparkSession
+    rows = written(analysed(docs), "analysed")
+    postings_of(rows).repartitionByRange("term", "doc_pos").sortWithinPartitions("term", "doc_pos").write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/postings")
+    stats_of(rows).write.mode("overwrite").parquet(f"{path}/doc_stats")
+    corpus_stats(spark.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+    term_stats(spark.read.parquet(f"{path}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    dropped(rows)
 
 
 def save_index(index: Index, path: str) -> None:
-    """Writes the tables; postings and terms in term order, so a lookup reads few row groups."""
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    index.postings.repartitionByRange("term", "doc_pos").sortWithinPartitions("term", "doc_pos").write.mode("overwrite").parquet(f"{path}/postings")
-    index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-    spark = index.docs.sparkSession
-    corpus_stats(spark.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(f"{path}/corpus_stats")
-    term_stats(spark.read.parquet(f"{path}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    """Writes the tables of an index, whatever they come from, in the order that write_index gives them."""
+    for name in ("docs", "doc_stats", "corpus_stats"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    index.postings.repartitionByRange("term", "doc_pos").sortWithinPartitions("term", "doc_pos").write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{path}/postings")
+    index.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
 
 
-def load_index(spark: SparkSession, path: str) -> Index:
-    """The saved index; fails if a table lacks a column it must have."""
+def load_index(spark: SparkSession, path: str, docs: DataFrame | None = None) -> Index:
+    """The index under path, with the documents there or given; fails if a table lacks a column it must have."""
     need = {"docs": {"doc_pos", "id", "title", "text"}, "postings": {"doc_pos", "term", "weight"}, "doc_stats": {"doc_pos", "norm_length", "length"}, "corpus_stats": {"n", "avg_length"}, "terms": {"term", "df"}}
-    tables = {t: spark.read.parquet(f"{path}/{t}") for t in Index.TABLES}
+    tables = {t: docs if t == "docs" and docs is not None else spark.read.parquet(f"{path}/{t}") for t in Index.TABLES}
     for name, columns in need.items():
         if missing := columns - set(tables[name].columns):
             raise ValueError(f"{name} lacks {sorted(missing)}")

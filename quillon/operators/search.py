@@ -1,12 +1,16 @@
 """Ranked retrieval over an index, for one query or a table of queries.
 
-Query terms meet postings by equi-join on the term; rare long terms also take spellings that continue them, found by
-an equi-join on their first letters. Texts are read for the winners only.
+Query terms meet postings by equi-join on the term; rare long terms also take spellings that continue them. Where the
+queries have at most LITERAL_TERMS distinct terms, terms and postings are filtered by those terms and their continuations
+themselves, so that an index in term order is read only where they lie; otherwise both come by join. Both give the same
+rows. Texts are read for the winners only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import constants as C
@@ -15,9 +19,20 @@ from quillon.functions import text as X
 from quillon.operators.index import Index
 
 
+LITERAL_TERMS = 500  # so many distinct terms are put into the filters of a scan
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind around it."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, asked (trimmed, lower case), n_terms and one row per distinct term of queries (query_id, query)."""
-    cut = queries.select("query_id", F.lower(F.trim("query")).alias("asked"), F.array_distinct(X.query_tokens(F.col("query"))).alias("all"))
+    """query_id, asked (stripped, cut to MAX_QUERY, lower case), n_terms and one row per distinct term of queries (query_id,
+    query)."""
+    asked = F.left(stripped(F.coalesce("query", F.lit(""))), F.lit(C.MAX_QUERY))
+    cut = queries.select("query_id", asked.alias("query"))
+    cut = cut.select("query_id", F.lower(stripped(F.col("query"))).alias("asked"), F.array_distinct(X.query_tokens(F.col("query"))).alias("all"))
     return cut.select("query_id", "asked", F.size("all").alias("n_terms"), F.explode("all").alias("term"))
 
 
@@ -36,19 +51,33 @@ def expand_prefix(wanted: DataFrame, terms: DataFrame) -> DataFrame:
     return seen.withColumn("place", F.row_number().over(best)).where(F.col("place") <= C.MAX_EXPANSIONS).select("term", "lookup", "lookup_df", "place")
 
 
+def pruned(index: Index, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(terms, postings) of the index that the query terms of asked can touch."""
+    wanted = [r["term"] for r in asked.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
+    if len(wanted) > LITERAL_TERMS:
+        return index.terms, index.postings
+    frequent = {r["term"] for r in index.terms.where(F.col("term").isin(wanted)).where(F.col("df") > C.MAX_EXPANDED_DF).collect()}
+    rare = [t for t in wanted if len(t) >= C.MIN_PREFIX and t not in frequent]
+    near = reduce(Column.__or__, [F.startswith("term", F.lit(t)) for t in rare], F.col("term").isin(wanted))
+    terms = index.terms.where(near)
+    more = [r["lookup"] for r in expand_prefix(asked, terms).select("lookup").distinct().collect()] if rare else []  # a few a term
+    return terms, index.postings.where(F.col("term").isin(wanted + more))
+
+
 def scored(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, doc_pos, id, kind, title, score, matched (distinct query terms), n_terms and lookups (matching terms)."""
     asked = query_terms(queries)
-    more = asked.join(expand_prefix(asked, index.terms), "term").select("query_id", "asked", "n_terms", "term", "lookup", F.lit(C.EXPANSION_WEIGHT).alias("share"))
+    terms, postings = pruned(index, asked)
+    more = asked.join(expand_prefix(asked, terms), "term").select("query_id", "asked", "n_terms", "term", "lookup", F.lit(C.EXPANSION_WEIGHT).alias("share"))
     lookups = asked.select("query_id", "asked", "n_terms", "term", F.col("term").alias("lookup"), F.lit(1.0).alias("share")).union(more)
-    found = lookups.join(index.terms.withColumnRenamed("term", "lookup"), "lookup").join(index.postings.withColumnRenamed("term", "lookup"), "lookup")
+    found = lookups.join(terms.withColumnRenamed("term", "lookup"), "lookup").join(postings.withColumnRenamed("term", "lookup"), "lookup")
     rated = found.join(index.doc_stats.select("doc_pos", "norm_length"), "doc_pos").crossJoin(F.broadcast(index.corpus_stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1 - C.B + C.B * F.when(F.col("avg_length") > 0, F.col("norm_length") / F.col("avg_length")).otherwise(1.0)
     part = F.col("share") * idf * (F.col("weight") * (C.K1 + 1)) / (F.col("weight") + C.K1 * norm)
     per_doc = rated.groupBy("query_id", "asked", "n_terms", "doc_pos").agg(F.sum(part).alias("sum"), F.countDistinct("term").alias("matched"), F.sort_array(F.collect_set("lookup")).alias("lookups"))
     named = per_doc.join(index.docs.select("doc_pos", "id", "kind", "title"), "doc_pos")
-    title, name = F.lower(F.trim(F.coalesce("title", F.lit("")))), F.lower("id")
+    title, name = F.lower(stripped(F.coalesce("title", F.lit("")))), F.lower("id")
     boost = F.when(F.col("asked") == "", 1.0).otherwise(
         F.when(title == F.col("asked"), C.TITLE_EXACT).when(F.contains(title, F.col("asked")), C.TITLE_PART).otherwise(1.0) * F.when(name == F.col("asked"), C.ID_EXACT).otherwise(1.0)
     )
@@ -80,8 +109,7 @@ def clamp_k(k) -> int:
 
 def search(spark: SparkSession, index: Index, query: str, k: int = C.DEFAULT_K, kind: str = "") -> DataFrame:
     """id, kind, title, snippet, score (4 places) of the best documents for one query, best first."""
-    text = query.strip()[: C.MAX_QUERY] if isinstance(query, str) else ""
-    asked = spark.createDataFrame([(0, text)], "query_id int, query string")
+    asked = spark.createDataFrame([(0, query if isinstance(query, str) else "")], "query_id int, query string")
     found = search_many(index, asked, k, kind).join(index.docs.select("doc_pos", F.col("text"), F.col("kind").alias("own_kind")), "doc_pos")
     source = F.when((F.col("own_kind") == "api") & F.startswith("text", F.concat_ws(" ", "id", "title", F.lit(""))), F.expr("substring(text, length(id) + length(title) + 3)")).otherwise(F.col("text"))
     return found.orderBy("place").select("id", "kind", "title", M.snippet(source, F.col("lookups")).alias("snippet"), F.round("score", 4).alias("score"))

@@ -25,15 +25,25 @@ def top_sections(rows: DataFrame, most: int = C.MAX_SECTIONS_LISTED) -> DataFram
     return rows.where("parent_id is null").withColumn("place", place).where(F.col("place") <= most).select("doc_id", "ord", "section_id", "title")
 
 
+def heading_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, line, level, title of every heading outside code; doc_id, n_lines) of docs (doc_id, text)."""
+    scanned = docs.withColumn("scan", M.headings(F.col("text")))
+    heads = scanned.select("doc_id", F.inline("scan.headings"))
+    return heads, scanned.select("doc_id", F.col("scan.n_lines").alias("n_lines"))
+
+
 def heading_spans(heads: DataFrame, n_lines: DataFrame) -> DataFrame:
     """doc_id, line, level, title, end_line: a heading's span ends at the next that is no deeper, else at the end.
 
-    heads: doc_id, line, level, title; n_lines: doc_id, n_lines. A window over each document collects what follows.
+    heads: doc_id, line, level, title; n_lines: doc_id, n_lines. For each of the six levels a running value holds, from
+    the document's end on, the line of the heading of that level seen last; the least of those that are no deeper ends
+    the span. Linear in the headings.
     """
-    after = Window.partitionBy("doc_id").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    later = F.collect_list(F.struct("line", "level")).over(after)
-    ends = heads.withColumn("later", later).withColumn("end_line", F.get(F.filter("later", lambda x: x["level"] <= F.col("level")), F.lit(0))["line"])
-    return ends.join(n_lines, "doc_id").select("doc_id", "line", "level", "title", F.coalesce("end_line", "n_lines").alias("end_line"))
+    behind = Window.partitionBy("doc_id").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = range(1, 7)
+    seen = heads.select("*", *[F.last(F.when(F.col("level") == n, F.col("line")), ignorenulls=True).over(behind).alias(f"next_{n}") for n in levels])
+    ends = F.least(*[F.when(F.col("level") >= n, F.col(f"next_{n}")) for n in levels])
+    return seen.select("doc_id", "line", "level", "title", ends.alias("end_line")).join(n_lines, "doc_id").select("doc_id", "line", "level", "title", F.coalesce("end_line", "n_lines").alias("end_line"))
 
 
 def bare_titles(heads: DataFrame, lines: DataFrame) -> DataFrame:

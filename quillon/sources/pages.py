@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import codecs
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions import constants as C
 from quillon.functions import markdown as M
 
 MAX_BYTES = 2 << 20
 
 
-def read_pages(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """slug (the file's name), raw text (null if the file is larger than max_bytes) and its size."""
+def decoded(content: Column, charset: str = "utf-8") -> Column:
+    """The bytes as text; what the charset does not allow becomes U+FFFD, so one bad byte does not fail a crawl."""
+    name = codecs.lookup(charset).name  # an unknown charset fails here, not in a task
+    if name == "utf-8":
+        return F.make_valid_utf8(content.cast("string"))
+
+    @F.pandas_udf("string")
+    def run(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else bytes(b).decode(name, "replace"))
+
+    return run(content)
+
+
+def read_pages(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, charset: str = "utf-8") -> DataFrame:
+    """slug (the file's name), raw text (null if the file is larger than max_bytes) and its size. Larger files are not read."""
     files = spark.read.format("binaryFile").load(path)
     slug = F.regexp_extract("path", r"([^/]+?)(?:\.md)?$", 1)
-    return files.select(slug.alias("slug"), F.when(F.col("length") <= max_bytes, F.decode("content", "UTF-8")).alias("raw"), F.col("length").alias("bytes"))
+    named = lambda rows, raw: rows.select(slug.alias("slug"), raw.alias("raw"), F.col("length").alias("bytes"))
+    return named(files.where(F.col("length") <= max_bytes), decoded(F.col("content"), charset)).union(named(files.where(F.col("length") > max_bytes), F.lit(None).cast("string")))
 
 
 def guide_docs(pages: DataFrame, links: DataFrame, variables: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -28,7 +46,17 @@ def guide_docs(pages: DataFrame, links: DataFrame, variables: dict[str, str] | N
 
 
 def live_or_stored(docs: DataFrame, live: DataFrame) -> DataFrame:
-    """docs (id, text) with the text of live (id, text) where there is one, else the stored text and a note."""
-    joined = docs.join(live.select("id", F.col("text").alias("fresh")), "id", "left")
-    note = F.when(F.col("fresh").isNotNull(), "").when(F.coalesce("text", F.lit("")) != "", "Live read failed; this is the indexed copy.").otherwise("Could not be read.")
+    """docs (id, text) with the text of live (id, text and, where a read failed, its reason) where there is one, else the
+    stored text and a note that says why."""
+    reason = F.coalesce("reason", F.lit("no answer")) if "reason" in live.columns else F.lit("no answer")
+    joined = docs.join(live.select("id", F.col("text").alias("fresh"), reason.alias("reason")), "id", "left")
+    why = short_reason(F.coalesce("reason", F.lit("no answer")))
+    stored = F.concat(F.lit("This is the indexed copy: the page itself could not be read ("), why, F.lit(")."))
+    note = F.when(F.col("fresh").isNotNull(), "").when(F.coalesce("text", F.lit("")) != "", stored).otherwise(F.concat(F.lit("The page could not be read: "), why))
     return joined.select(*[c for c in docs.columns if c != "text"], F.coalesce("fresh", "text").alias("text"), note.alias("note"))
+
+
+def short_reason(message: Column, limit: int = C.MAX_REASON) -> Column:
+    """The first line of a message, without white space around it, cut to limit characters."""
+    line = F.regexp_extract(message, r"(?U)\A\s*([^\r\n]*[^\r\n\s])", 1)
+    return F.when(F.length(line) > limit, F.concat(F.regexp_replace(F.left(line, F.lit(limit - 3)), r"(?U)\s+\z", ""), F.lit("..."))).otherwise(line)

@@ -1,7 +1,9 @@
-"""Publishing: versioned directories with a pointer that is swapped last, and chunk manifests with digests."""
+"""Publishing: versioned directories with a pointer that is swapped last, in one step, and chunk manifests with digests."""
 
 from __future__ import annotations
 
+import json
+import re
 import time
 import uuid
 from collections.abc import Callable
@@ -11,6 +13,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions import constants as C
 from quillon.operators.index import Index, load_index, save_index
+from quillon.sources.scratch import file_system
+
+
+POINTER = "generation string, schema int, built_at string, api_version string"
 
 
 def guard(counts: dict[str, int], least: dict[str, int]) -> None:
@@ -20,32 +26,41 @@ def guard(counts: dict[str, int], least: dict[str, int]) -> None:
         raise ValueError(f"too few documents: {short}; nothing was written")
 
 
-def meta_row(spark: SparkSession, generation: str, built_at: str) -> DataFrame:
-    return spark.createDataFrame([(generation, C.SCHEMA_VERSION, built_at)], "generation string, schema int, built_at string")
-
-
-def publish(spark: SparkSession, index: Index, path: str, built_at: str, least: dict[str, int] | None = None) -> str:
-    """Writes a new generation under path, then the pointer to it, then drops the generation it replaces; its name."""
+def point(spark: SparkSession, path: str, row: dict) -> None:
+    """Replaces the pointer by one rename, so that a reader finds the old one or the new one, whenever it looks and
+    whatever fails."""
+    java = spark.sparkContext._jvm
+    target, system = file_system(spark, f"{path}/current.json")
+    fresh, _ = file_system(spark, f"{path}/.current-{row['generation']}.json")
+    out = system.create(fresh, True)
+    out.write(bytearray(json.dumps(row).encode()))
+    out.close()
+    rename = getattr(java.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = java.org.apache.hadoop.fs.FileContext.getFileContext(system.makeQualified(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(system.makeQualified(fresh), system.makeQualified(target), options)
+
+
+def publish(spark: SparkSession, index: Index, path: str, built_at: str, least: dict[str, int] | None = None, api_version: str = "") -> str:
+    """Writes a new generation under path, swaps the pointer to it, then sweeps all other generations, those of failed
+    jobs too; its name. One job publishes at a time."""
     if least:
         guard({r["kind"]: r["n"] for r in index.docs.groupBy("kind").agg(F.count("*").alias("n")).collect()}, least)
-    before = current(spark, path)
     name = uuid.uuid4().hex
     save_index(index, f"{path}/{name}")
-    meta_row(spark, name, built_at).write.mode("overwrite").parquet(f"{path}/meta")
-    if before:
-        hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{before['generation']}")
-        hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    point(spark, path, {"generation": name, "schema": C.SCHEMA_VERSION, "built_at": built_at, "api_version": api_version})
+    folder, system = file_system(spark, path)
+    for status in system.listStatus(folder):
+        if status.isDirectory() and re.fullmatch("[0-9a-f]{32}", status.getPath().getName()) and status.getPath().getName() != name:
+            system.delete(status.getPath(), True)
     return name
 
 
 def current(spark: SparkSession, path: str):
     """The pointer's row, or None."""
-    try:
-        return spark.read.parquet(f"{path}/meta").first()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
+    target, system = file_system(spark, f"{path}/current.json")
+    return spark.read.schema(POINTER).json(f"{path}/current.json").first() if system.exists(target) else None
 
 
 def open_published(spark: SparkSession, path: str) -> Index:
@@ -89,13 +104,24 @@ def assemble(parts: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     return data.select(key, F.when(ok, F.col("data")).alias("data"), ok.alias("ok"))
 
 
-def retry(send: Callable[[], object], transient: tuple[type[Exception], ...], attempts: int = 3, sleep: Callable[[float], None] = time.sleep):
-    """send(), tried again after a transient failure, later each time."""
-    for attempt in range(1, attempts + 1):
+class Transient(Exception):
+    """A failure that may go away, such as a connection that was never answered."""
+
+
+def retry(send: Callable[[], object], attempts: int = 3, sleep: Callable[[float], None] = time.sleep, failed: Callable[[object], bool] = lambda answer: False, transient: tuple[type[Exception], ...] = (Transient, TimeoutError, ConnectionError)):
+    """send(), tried again, later each time, after a transient exception or an answer that failed calls a failure of the
+    other side. Other answers, a refusal among them, and other exceptions are final; so is the last attempt."""
+    for attempt in range(1, attempts):
         try:
-            return send()
+            answer = send()
+            if not failed(answer):
+                return answer
         except transient:
-            if attempt == attempts:
-                raise
-            sleep(float(attempt))
-    return None
+            pass
+        sleep(float(attempt))
+    return send()
+
+
+def server_failed(answer: tuple[int, str]) -> bool:
+    """Whether an answer (status, text) is a failure of the server, which may pass, and no refusal."""
+    return answer[0] >= 500

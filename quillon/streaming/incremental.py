@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from quillon.operators.index import measured, postings
+from quillon.operators.index import analysed, postings_of
+from quillon.sources.scratch import dropped, written
 
 DOCUMENT = T.StructType([T.StructField("doc_pos", T.LongType()), *[T.StructField(n, T.StringType()) for n in ("id", "kind", "title", "text")]])
 
 
 def append_batch(docs: DataFrame, batch: int, path: str) -> None:
-    for name, rows in (("postings", postings(docs)), ("measured", measured(docs))):
+    read_once = written(analysed(docs), "batch")
+    for name, rows in (("postings", postings_of(read_once)), ("measured", read_once.drop("posted"))):
         rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+    dropped(read_once)
 
 
 def index_stream(spark: SparkSession, source: str, path: str, checkpoint: str) -> StreamingQuery:

@@ -12,7 +12,7 @@ import __spark_entry__
 from quillon.functions import constants as C
 from quillon.functions import text as X
 from quillon.operators import fetch, index, resolve, search, sections, status
-from quillon.plans import registry
+from quillon.plans import build, registry
 from quillon.sources import links, openapi, pages, publish
 
 SITE = links.Site("docs.test", "/g/")
@@ -252,6 +252,18 @@ def test_resolve_and_fetch(spark):
     for bad in ("", "x" * 300):
         assert "error" in fetch.fetch_doc(spark, docs, bad)
     assert "did_you_mean" in fetch.fetch_doc(spark, docs, "make-widgit") and "hint" in fetch.fetch_doc(spark, docs, "http://x.y/")
+    assert "getWidgits" in fetch.fetch_doc(spark, docs, "https://docs.example.com/reference/getWidgits")["error"]
+
+
+def test_batch_equals_one_by_one(spark):
+    docs = corpus(spark, ROWS)
+    names = ["make-widget", "GETWIDGETS", "make-widgit", " getWidgets ", "https://docs.example.com/reference/getWidgits", "http://x.y/", "", None, "x" * 300, "unknown thing"]
+    asked = spark.createDataFrame([(n, s) for n in names for s in ("", "1", None)] + [("rare", "y" * 300)], "id string, section string")
+    rows = fetch.fetch_many(asked, docs, SITE, "old").collect()
+    assert len(rows) == 3 * len(names) + 1  # a repeated id gives one row
+    for r in rows:
+        assert r["result"] == fetch.render(fetch.fetch_doc(spark, docs, r["id"], r["section"], SITE, "old")), (r["id"], r["section"])
+    assert fetch.fetch_many(asked.where("false"), docs).count() == 0
 
 
 def test_page_results():
@@ -262,7 +274,7 @@ def test_page_results():
     assert len(fetch.page_result(doc, "99", "u")["valid_sections"]) == C.MAX_SECTIONS_LISTED
     assert fetch.page_result(doc, "3", "u")["content"].startswith("## S2\nword")
     long = fetch.page_result({"id": "d", "title": "x", "text": "y" * 50_000}, "", "u")
-    assert long["truncated"] and len(long["content"]) == 40_000 and "Truncated at 40,000" in fetch.render(long)
+    assert long["truncated"] and len(long["content"]) == 40_000 and "Cut after 40,000" in fetch.render(long)
     assert json.loads(fetch.render({"error": "é"})) == {"error": "é"}
 
 
@@ -276,6 +288,96 @@ def test_publishing(spark, tmp_path):
     second = publish.publish(spark, built, path, "2024-01-02")
     assert not os.path.exists(f"{path}/{first}") and publish.changed(spark, path, first) and not publish.changed(spark, path, second)
     assert publish.open_published(spark, path).docs.count() == len(ROWS)
+    assert {f for f in os.listdir(path) if not f.startswith(".")} == {second, "current.json"}
+
+
+def test_a_failed_publication_leaves_the_old_one(spark, tmp_path, monkeypatch):
+    built, path = index.build_index(corpus(spark, ROWS)), str(tmp_path / "p")
+    first = publish.publish(spark, built, path, "2024-01-01")
+    for step in ("point", "save_index"):
+        with monkeypatch.context() as m:
+            m.setattr(publish, step, lambda *a: (_ for _ in ()).throw(OSError("disk")))
+            with pytest.raises(OSError):
+                publish.publish(spark, built, path, "2024-01-02")
+        assert publish.current(spark, path)["generation"] == first and publish.open_published(spark, path).docs.count() == len(ROWS)
+    third = publish.publish(spark, built, path, "2024-01-03")
+    assert {f for f in os.listdir(path) if not f.startswith(".")} == {third, "current.json"}  # what failed jobs left is swept
+
+
+def test_build_job_and_report(spark, tmp_path):
+    guides, out = tmp_path / "pages", str(tmp_path / "out")
+    guides.mkdir()
+    for name, text in (("one", "# One\nabout widgets"), ("two", "# Two\nabout bolts"), ("bad", "<html>")):
+        (guides / f"{name}.md").write_text(text)
+    (tmp_path / "list.txt").write_text("".join(f"- [{n}](https://docs.test/g/{n}): x\n" for n in ("one", "two", "bad", "gone")))
+    (tmp_path / "spec.json").write_text(json.dumps(SPEC))
+    now = F.lit("2024-01-09 12:00:00").cast("timestamp")
+    run = lambda **least: build.build(spark, str(tmp_path / "list.txt"), str(guides), str(tmp_path / "spec.json"), out, "2024-01-09", SITE, **least)
+    assert status.report(spark, out, now).first()["state"] == "missing"
+    for least in ({"least_guides": 3, "least_operations": 1}, {"least_guides": 1, "least_operations": 4}, {}):
+        with pytest.raises(ValueError):
+            run(**least)
+        assert not os.path.exists(out)
+    made = run(least_guides=2, least_operations=3)
+    assert (made["guides"], made["operations"], made["api_version"]) == (2, 3, "4.1") and {r["slug"] for r in made["rejects"].collect()} == {"bad", "gone"}
+    row = status.report(spark, out, now).first()
+    assert (row["state"], row["generation"], row["guides"], row["operations"], row["api_version"], row["age"]) == ("fresh", made["generation"], 2, 3, "4.1", 0.5)
+    assert row["bytes"] > 0 and row["terms"] > 0 and row["postings"] >= row["terms"]
+    assert status.report(spark, out, F.lit("2024-02-09").cast("timestamp")).first()["state"] == "stale"
+    assert [r["id"] for r in search.search(spark, publish.open_published(spark, out), "widgets").collect()] == ["one"]
+    publish.point(spark, out, {"generation": made["generation"], "schema": 1, "built_at": "", "api_version": ""})
+    assert status.report(spark, out, now).first()["state"] == "unreadable"
+
+
+def test_bad_bytes_and_charsets(spark, tmp_path):
+    (tmp_path / "bad.md").write_bytes(b"caf\xe9 \xff ok")
+    (tmp_path / "good.md").write_bytes("café".encode())
+    read = {r["slug"]: r["raw"] for r in pages.read_pages(spark, str(tmp_path)).collect()}
+    assert read == {"bad": "caf\ufffd \ufffd ok", "good": "café"}
+    assert {r["slug"]: r["raw"] for r in pages.read_pages(spark, str(tmp_path), charset="latin-1").collect()}["bad"] == "café ÿ ok"
+    with pytest.raises(LookupError):
+        pages.read_pages(spark, str(tmp_path), charset="no-such")
+
+
+def test_short_reasons(spark):
+    texts = ["", "  one \n two", "x" * 130, "y" * 116 + "   " + "z" * 30, "\n\n late"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(pages.short_reason(F.col("t"))).collect()]
+    assert got == ["", "one", "x" * 117 + "...", "y" * 116 + "...", "late"]
+
+
+def test_search_reads_the_saved_index_by_term(spark, tmp_path):
+    """One query's terms are in the scans' own filters; more queries than fit there give the same rows by join."""
+    path = str(tmp_path / "i")
+    index.save_index(index.build_index(corpus(spark, ROWS)), path)
+    loaded = index.load_index(spark, path)
+    asked = spark.createDataFrame([(0, "widget orchestrator"), (1, "\tMake a widget\n"), (2, "x" * 2000)], "query_id int, query string")
+    found = search.search_many(loaded, asked, 20)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    pushed = [line for line in found._jdf.queryExecution().toString().splitlines() if "PushedFilters" in line and "term:string" in line]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert len(pushed) >= 2 and all("In(term, [" in line or "EqualTo(term," in line for line in pushed), pushed
+    assert any("StringStartsWith(term,orchestrator)" in line for line in pushed), pushed
+    form = lambda df: sorted((r["query_id"], r["place"], r["id"], round(r["score"], 9)) for r in df.collect())
+    before = form(found)
+    assert ("make-widget" in {i for q, p, i, _ in before if q == 1 and p == 1}) and [s for q, p, i, s in before if q == 1 and p == 1][0] == pytest.approx(-py_search([(*r[:4],) for r in ROWS], "make a widget")[0][0])
+    search.LITERAL_TERMS, kept = 1, search.LITERAL_TERMS
+    try:
+        assert form(search.search_many(loaded, asked, 20)) == before
+    finally:
+        search.LITERAL_TERMS = kept
+
+
+def test_a_build_reads_documents_once(spark, tmp_path):
+    corpus(spark, ROWS).write.parquet(str(tmp_path / "docs"))
+    rows = index.analysed(spark.read.parquet(str(tmp_path / "docs")))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    found = {r["doc_pos"]: {p["term"]: p["weight"] for p in r["posted"]} for r in rows.collect()}
+    for pos, (ident, _, title, text, *_) in enumerate(ROWS):
+        want = {}
+        for part, w in ((title, 3), (ident, 3), ("\n".join(re.findall(r"(?m)^ {0,3}#{1,6}[ \t]+(.+)$", text)), 1), (text, 1)):
+            for t in py_tokens(part):
+                want[t] = want.get(t, 0) + w
+        assert found[pos] == want
 
 
 def test_chunks(spark):
@@ -296,9 +398,15 @@ def test_retry():
             raise TimeoutError
         return "done"
 
-    assert publish.retry(send, (TimeoutError,), sleep=slept.append) == "done" and slept == [1.0, 2.0]
+    assert publish.retry(send, sleep=slept.append) == "done" and slept == [1.0, 2.0]
     with pytest.raises(KeyError):
-        publish.retry(lambda: {}["x"], (TimeoutError,), sleep=slept.append)
+        publish.retry(lambda: {}["x"], sleep=slept.append)
+    answers = iter([(503, ""), (500, ""), (502, "last")])
+    assert publish.retry(lambda: next(answers), sleep=slept.append, failed=publish.server_failed) == (502, "last")
+    answers = iter([(503, ""), (404, "no")])  # a refusal is final
+    assert publish.retry(lambda: next(answers), sleep=slept.append, failed=publish.server_failed) == (404, "no")
+    with pytest.raises(publish.Transient):
+        publish.retry(lambda: (_ for _ in ()).throw(publish.Transient), attempts=2, sleep=slept.append)
 
 
 def test_status(spark):
@@ -315,6 +423,8 @@ def test_heading_spans_equal_the_parser(spark):
     spans = {r["line"]: r["end_line"] for r in sections.heading_spans(heads, spark.createDataFrame([(1, 6)], "doc_id long, n_lines int")).collect()}
     parsed = {r["start_line"]: r["end_line"] for r in sections.section_rows(sections.pages(doc)).collect()}
     assert spans == {0: 4, 2: 3, 3: 4, 4: 6, 5: 6} and parsed == spans
+    heads, n_lines = sections.heading_rows(doc)
+    assert {r["line"]: r["end_line"] for r in sections.heading_spans(heads, n_lines).collect()} == spans
 
 
 def test_every_query_has_a_stable_name():
@@ -328,7 +438,7 @@ def test_entry(spark):
     assert found.columns == ["query_id", "place", "id", "kind", "score"] and found.count() > 0
 
 
-SQL = ("token_counts", "kind_upper_median", "norm_length", "bm25_prefix", "search_many", "plain_snippet", "link_list", "section_text", "alias_resolve", "api_operations")
+SQL = ("token_counts", "kind_upper_median", "norm_length", "bm25_prefix", "search_many", "plain_snippet", "link_list", "section_text", "alias_resolve", "api_operations", "index_integrity", "cleaned_pages", "nested_sections")
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="needs the driver's tables")
