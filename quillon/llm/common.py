@@ -26,11 +26,12 @@ WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 1_000_000  # of a few numbers each; a side with more rows is shuffled
 
 
-def small_side(rows: DataFrame, weight: Column | None = None) -> DataFrame:
+def small_side(rows: DataFrame, weight: Column | None = None, beyond: str = "shuffle_hash") -> DataFrame:
     """A written table of a few numbers a row (or as many as the sum of weight), to be broadcast if its counted size allows
-    it, so that the texts it is joined with need not be shuffled. The join gives the same rows either way."""
+    it, so that the texts it is joined with need not be shuffled, else with the join hint beyond. The join gives the same
+    rows either way."""
     size = rows.count() if weight is None else rows.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    return F.broadcast(rows) if size <= BROADCAST_ROWS else rows
+    return rows.hint("broadcast" if size <= BROADCAST_ROWS else beyond)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -85,7 +85,7 @@ def scanned(docs: DataFrame, items: DataFrame, all_docs: bool = False) -> tuple[
     places = written(found.groupBy(*KEY).agg(F.collect_set((F.col("place") / len(leads)).cast("int")).alias("places")), "places")
     # where texts are shuffled after all, it is the texts themselves, never the longer word arrays
     texts = docs.select(*key_columns(), F.col("text").cast("string").alias("text"))
-    joined = texts.alias("d").join(small_side(places, F.size("places")).hint("shuffle_hash").alias("p"), same_text("d", "p"), "left" if all_docs else "inner")
+    joined = texts.alias("d").join(small_side(places, F.size("places")).alias("p"), same_text("d", "p"), "left" if all_docs else "inner")
     near = joined.select(*[F.col(f"d.{k}") for k in KEY], words_of(F.col("text")).alias("words"), "places")
     lengths = sorted({n for n, *_ in sizes}) or [WINDOW]
     cut = lambda at, n: F.struct(at.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice("words", at + 1, n), " ").alias("window"))
