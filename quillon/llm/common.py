@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import string
 from collections.abc import Iterator
 
@@ -67,7 +69,8 @@ def one_text_each(rows: DataFrame, label: str) -> DataFrame:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that one holds about limit bytes of the column (or a single longer row)."""
+    """The batches again, cut so that one holds about limit bytes of the column (or a single longer row). At the end of the
+    task free memory goes back to the system: workers live on from stage to stage."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -76,6 +79,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    released()
+
+
+def released() -> None:
+    """Gives a worker's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def raw(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
@@ -87,6 +98,11 @@ def as_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever signs are in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def unused(name: str, df: DataFrame) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}

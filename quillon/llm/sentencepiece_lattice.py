@@ -36,7 +36,7 @@ MARK = "▁"
 UNIT = re.compile(MARK + "*[^" + MARK + "]+|" + MARK + "+")
 FOLD_CHARS = 48
 FOLD_UNITS = 30_000  # units folded at once
-KNOWN_BYTES, UNIT_BYTES = 120 << 20, 230  # bound of the units that a worker remembers, and what one costs beside its text and ids
+KNOWN_BYTES, UNIT_BYTES = 72 << 20, 230  # bound of the units that a worker remembers, and what one costs beside its text and ids
 PART_CHARS = 1 << 17  # characters of a long unit folded at once
 NO_RANK = 1 << 30
 BLOCK_BYTES = 48 << 20
@@ -354,6 +354,7 @@ class Lattice:
         self.piece_of[list(piece_of)] = list(piece_of.values())
         self.known: dict[str, bytes] = {}  # ids of brief units, without their first space mark
         self.held = 0  # bytes they take, about
+        self.last: set[str] = set()  # units of the texts encoded last, which stay known when there are too many
         self.id_of = {p: i for i, p, _ in normal}
 
     def edges(self, chars: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -497,9 +498,10 @@ class Lattice:
         """Ids of whole texts; each distinct unit is encoded once, and brief ones are remembered."""
         cut = [tails(t) for t in texts]
         if self.held > KNOWN_BYTES:
-            self.known.clear()
-            self.held = 0
-        new = [MARK + u for u in set().union(*cut) - self.known.keys()]
+            self.known = {u: self.known[u] for u in self.last if u in self.known}
+            self.held = sum(2 * len(u) + UNIT_BYTES for u in self.known)
+        self.last = set().union(*cut)
+        new = [MARK + u for u in self.last - self.known.keys()]
         brief = [u for u in new if len(u) <= FOLD_CHARS]
         for k in range(0, len(brief), FOLD_UNITS):
             some = brief[k : k + FOLD_UNITS]
@@ -536,7 +538,7 @@ def encode(docs: DataFrame, model_path: str, unigram: bool = False) -> DataFrame
 
     def run(batches):
         lattice = BUILT[name] = BUILT.get(name) or Lattice(rows, unigram)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 3 << 20):
             coded = lattice(batch.column("text").to_pylist())
             ends = np.append(0, np.cumsum([len(c) // 4 for c in coded]))
             flat = np.frombuffer(b"".join(coded), "<i4")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import near_copies
-from quillon.llm.common import LOWER, as_batch, dropped, pieces, raw, small_side, unused, written
+from quillon.llm.common import LOWER, all_columns, as_batch, dropped, pieces, raw, small_side, unused, written
 from quillon.llm.graph import connected
 
 SHINGLE, SEED, RADIUS, SEGMENTS = 3, 42, 3, 4
@@ -150,4 +150,4 @@ def deduplicate(docs: DataFrame, least: float = near_copies.SIMILARITY, size: in
     kept = written(placed.groupBy("root").agg(F.min_by("best.row", "best").alias("keep")).select("root", "keep"), "kept")
     stays = placed.join(kept, "root").select(F.col("node").alias(node), "keep")
     gone = written(marked.select(row, node).join(stays, node).where(F.col(row) != F.col("keep")).select(row), "gone")
-    return marked.join(small_side(gone), row, "left_anti").select(*docs.columns)
+    return marked.join(small_side(gone), row, "left_anti").select(*all_columns(docs))
