@@ -8,7 +8,7 @@ from quillon.llm import chat, decontaminate, langid, licenses, quality, sentence
 
 LONG = "word " * 400_000  # 2 MB
 ROWS = [(1, "same words in a row of text"), (1, "same words in a row of text"), (None, "same words in a row of text"), (None, None), (2, None), (2, ""), (3, "中文" * 40_000), (4, LONG), (5, " \n\t"), (5, "1 2 3")]
-SCHEMA = "doc_id long, text string, lang string, row_number long, node string, fp string, keys int, letters string, `d.text` string"
+SCHEMA = "doc_id long, text string, lang string, row_number long, node string, fp string, keys int, letters string, text_hash string"
 
 
 def table(spark, rows=ROWS):
