@@ -33,8 +33,8 @@ from quillon.llm.common import as_batch, pieces, written
 
 MAGIC, HEAD = b"QVB1", struct.Struct("<4sIIQ")
 SHARD_IDS = 2 << 20  # a shard is closed at so many ids
-BATCH_BYTES = 8 << 20  # text encoded at a time
-CACHE_BYTES, PIECE_BYTES, KEPT_BYTES = 200 << 20, 180, 64  # bound of a worker's pieces, cost of one, longest that is kept beyond it
+BATCH_BYTES = 3 << 20  # text encoded at a time
+CACHE_BYTES, PIECE_BYTES, KEPT_BYTES = 64 << 20, 180, 64  # bound of a worker's pieces, cost of one, longest that is kept beyond it
 PIECES_AT_ONCE = 4096  # pieces encoded as one text
 END_ID = 2
 assert sys.byteorder == "little"  # tokens are written in the byte order of the machine
@@ -193,16 +193,16 @@ class Encoder:
     def forget(self, keep: list[bytes] = ()) -> None:
         """Starts over, with the pieces to keep."""
         rows = np.fromiter((self.known[p] for p in keep), np.int64, len(keep))
-        size = self.size[rows] if len(keep) else np.zeros(0, np.int64)
+        size = self.size[rows] if len(keep) else np.zeros(0, np.int32)
         flat = self.ids[spread(self.begin[rows], size)] if len(keep) else np.zeros(0, "<u4")
         self.known: dict[bytes, int] = {}
-        self.ids, self.begin, self.size, self.held = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.ids, self.begin, self.size, self.held = np.zeros(0, "<u4"), np.zeros(0, np.int32), np.zeros(0, np.int32), 0
         self.remember(list(keep), flat, size)
 
     def remember(self, pieces: list[bytes], flat: np.ndarray, size: np.ndarray) -> None:
         """Notes the ids of pieces, which stand one behind the other."""
-        self.begin = np.append(self.begin, len(self.ids) + np.cumsum(size) - size)
-        self.size, self.ids = np.append(self.size, size), np.append(self.ids, flat)
+        self.begin = np.append(self.begin, (len(self.ids) + np.cumsum(size) - size).astype(np.int32))
+        self.size, self.ids = np.append(self.size, size.astype(np.int32)), np.append(self.ids, flat)
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
         self.held += sum(map(len, pieces)) + PIECE_BYTES * len(pieces)
 
@@ -235,7 +235,7 @@ class Encoder:
         if new := [p for p, row in zip(names, rows, strict=True) if row < 0]:
             self.learn(new)
             rows = list(map(self.known.__getitem__, names))
-        rows = np.array(rows)[coded.indices.to_numpy()]
+        rows = np.array(rows, np.int32)[coded.indices.to_numpy()]
         size = self.size[rows]
         flat = self.ids[spread(self.begin[rows], size)]
         upto = np.append(0, np.cumsum(size))[np.searchsorted(starts, ends)]
@@ -260,9 +260,11 @@ class Encoder:
 
 
 def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin, begin + 1, ... of each run of that size, one run behind the other."""
-    ends = np.cumsum(size)
-    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+    """begin, begin + 1, ... of each run of that size, one run behind the other; all below 2 ** 31."""
+    ends = np.cumsum(size, dtype=np.int32)
+    out = np.repeat(begin - ends + size, size)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 @functools.cache
