@@ -35,8 +35,9 @@ from quillon.llm.common import as_batch, pieces, written
 MARK = "▁"
 UNIT = re.compile(MARK + "*[^" + MARK + "]+|" + MARK + "+")
 FOLD_CHARS = 48
-FOLD_UNITS = 30_000  # units folded at once
-KNOWN_BYTES, UNIT_BYTES = 72 << 20, 230  # bound of the units that a worker remembers, and what one costs beside its text and ids
+FOLD_UNITS = 8_000  # units folded at once
+BATCH_BYTES = 1 << 20  # text encoded at a time
+KNOWN_BYTES, UNIT_BYTES = 48 << 20, 230  # bound of the units that a worker remembers, and what one costs beside its text and ids
 PART_CHARS = 1 << 17  # characters of a long unit folded at once
 NO_RANK = 1 << 30
 BLOCK_BYTES = 48 << 20
@@ -538,7 +539,7 @@ def encode(docs: DataFrame, model_path: str, unigram: bool = False) -> DataFrame
 
     def run(batches):
         lattice = BUILT[name] = BUILT.get(name) or Lattice(rows, unigram)
-        for batch in pieces(batches, "text", 3 << 20):
+        for batch in pieces(batches, "text", BATCH_BYTES):
             coded = lattice(batch.column("text").to_pylist())
             ends = np.append(0, np.cumsum([len(c) // 4 for c in coded]))
             flat = np.frombuffer(b"".join(coded), "<i4")

@@ -5,7 +5,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 
-from quillon.llm import token_files
+from quillon.llm import sentencepiece_lattice, token_files
 from quillon.llm.queries import vocabulary
 
 LETTERS = str.maketrans("0123456789", "ghijklmnop")
@@ -25,3 +25,13 @@ def test_encoder_holds_few_bytes():
         held = sys.getsizeof(encode.known) + sum(sys.getsizeof(p) + 32 for p in encode.known) + encode.ids.nbytes + encode.begin.nbytes + encode.size.nbytes
         most = max(most, held)
     assert most < 100 << 20
+
+
+def test_lattice_holds_few_bytes():
+    lattice, most = sentencepiece_lattice.Lattice(sentencepiece_lattice.load_pieces(vocabulary("piece_bpe_32k.model")), False), 0
+    for first in range(0, 500_000, 20_000):
+        text = numbered(first, 20_000)
+        (ids,) = lattice([text])
+        assert ids == b"".join(lattice(text.split(" ")))
+        most = max(most, sys.getsizeof(lattice.known) + sum(sys.getsizeof(u) + sys.getsizeof(x) for u, x in lattice.known.items()))
+    assert most < 28 << 20
