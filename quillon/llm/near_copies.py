@@ -10,7 +10,8 @@ compared with one node of its group. Then nodes that share one of BANDS (32) key
 LEADERS of them, one after the other, the one first that has the least share of runs of its own: what differs little from
 it links to it, so a large group of near copies needs few comparisons a node. Only nodes of one key that are still in
 different components are paired. Pairs left out lie within one component, so no link between components is lost. Before,
-pairs go whose intersection cannot be large enough, because too many of their runs are in no other candidate.
+pairs go whose intersection cannot be large enough, because too many of their runs are in no other candidate, or because
+their bitmaps differ: each run sets one of BITS bits, and a bit that only one of two sets has is a run that only it has.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,7 @@ from quillon.llm.graph import connected
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
+BITS = 1024  # of a node's bitmap; a much larger set fills it and is compared by counts alone
 LEADERS = 3  # nodes that all others of a key are compared with before nodes are paired
 PART = 256  # shingles whose minima are taken at a time
 ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,6 +132,29 @@ def lone_shingles(texts: DataFrame, size: int) -> DataFrame:
     return held.where("many = 1").groupBy("node").agg(F.count("*").alias("lone"))
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """The bits of a set, as signed numbers."""
+    out = np.zeros(BITS, np.uint8)
+    out[(hashes >> np.uint64(32)) % np.uint64(BITS)] = 1
+    return np.packbits(out, bitorder="little").view("<i8")
+
+
+def bitmaps(texts: DataFrame, size: int) -> DataFrame:
+    """node and bits of the texts (node, text)."""
+
+    def run(batches):
+        schema = pa.schema([("node", pa.int64()), ("bits", pa.list_(pa.int64()))])
+        for batch in pieces(batches, "text", 1 << 20):
+            yield as_batch(schema, batch.column("node"), [bitmap(shingles(t, size)) for t in raw(batch, "text")])
+
+    return texts.mapInArrow(run, "node long, bits array<long>")
+
+
+def only_in(bits: str, other: str) -> Column:
+    """At least so many runs of the set with these bits are not in the other."""
+    return reduce(Column.__add__, (F.bit_count(F.get(bits, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(k))))) for k in range(BITS // 64)))
+
+
 def shared_keys(nodes: DataFrame) -> DataFrame:
     """node, n and key for the keys of nodes (node, n, keys) that several nodes have, written."""
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
@@ -146,11 +171,13 @@ def node_roots(members: DataFrame, ties: DataFrame, texts: DataFrame, least: flo
     lone = written(lone_shingles(texts, size), "lone")
     common = F.col("n") - F.coalesce("lone", F.lit(0))
     members = members.join(lone, "node", "left").select("key", "node", "n", common.alias("common")).where(common >= F.col("n") * (least - 1e-9))
-    members = still_apart(members, roots)
-    may = F.least("common", "c") * (1 + least) >= (F.col("n") + F.col("m")) * (least - 1e-9)
+    bits = written(bitmaps(texts, size), "bits")
+    members = still_apart(members.join(bits, "node"), roots)
+    enough = lambda both: both * (1 + least) >= (F.col("n") + F.col("m")) * (least - 1e-9)
+    may = enough(F.least("common", "c")) & enough(F.col("n") - only_in("bits", "x")) & enough(F.col("m") - only_in("x", "bits"))
     tried = ties
     for turn in range(LEADERS + 1):
-        other = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("common").alias("c"), F.col("root").alias("own"))
+        other = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("common").alias("c"), F.col("bits").alias("x"), F.col("root").alias("own"))
         if turn < LEADERS:
             plainest = F.min(F.struct(((F.col("n") - F.col("common")) / F.col("n")).alias("alone"), F.col("node").alias("b"))).alias("first")
             parts = members.groupBy("key", "root").agg(F.count("*").alias("many"), plainest)
@@ -171,12 +198,12 @@ def node_roots(members: DataFrame, ties: DataFrame, texts: DataFrame, least: flo
         apart = still_apart(members.drop("root"), roots)
         dropped(before, members)
         members = apart
-    dropped(lone, members, tried, *edges)
+    dropped(lone, bits, members, tried, *edges)
     return roots
 
 
 def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     """members with their roots, of the keys whose nodes are in several components, written."""
-    placed = members.join(roots, "node", "left").select("key", "node", "n", "common", F.coalesce("root", "node").alias("root"))
+    placed = members.join(roots, "node", "left").select("key", "node", "n", "common", "bits", F.coalesce("root", "node").alias("root"))
     several = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     return written(placed.join(several, "key"), "apart")
